@@ -10,16 +10,21 @@ from pyspark.sql import functions as F
 WINDOW_DAYS = 14
 
 # "Wed Aug 12 14:23:01 +0000 2026". The weekday must be a name but need not fit
-# the date. It is dropped because Spark does not parse weekdays; the "@" makes
-# text without a weekday fail the parse.
+# the date. It is dropped because Spark does not parse weekdays.
+_WEEKDAYS = ("Mon ", "Tue ", "Wed ", "Thu ", "Fri ", "Sat ", "Sun ")
 _POSTED = (r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)\s+([a-z]{3})\s+(\d{1,2})\s+"
            r"(\d{1,2}:\d{1,2}:\d{1,2})\s+([+-]\d\d):?(\d\d)\s+(\d{4})$")
 
 
 def parse_created_at(text: Column) -> Column:
     """The instant a post was made; NULL for malformed or missing text."""
+    usual = F.when(F.substring(text, 1, 4).isin(*_WEEKDAYS),
+                   F.try_to_timestamp(F.substring(text, 5, 100), F.lit("MMM d HH:mm:ss Z yyyy")))
+    # Only text of another make comes here: letter case, spaces, short hours.
+    # The "@" makes text without a weekday fail the parse.
     bare = F.regexp_replace(text, _POSTED, "@$1 $2 $3 $4$5 $6")
-    return F.try_to_timestamp(F.initcap(bare), F.lit("'@'MMM d H:m:s Z yyyy"))
+    unusual = F.try_to_timestamp(F.initcap(bare), F.lit("'@'MMM d H:m:s Z yyyy"))
+    return F.coalesce(usual, unusual)
 
 
 def format_created_at(ts: Column) -> Column:

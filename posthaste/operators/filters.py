@@ -63,31 +63,38 @@ def candidates(df: DataFrame, rules: CandidateRules = CandidateRules()) -> DataF
     Apply it after deduplication by id: a rejected copy still uses up its id.
     Works on a batch and on a stream. Further input columns are kept.
     """
-    created = clock.parse_created_at(F.col("created_at"))
     extra = [c for c in df.columns if c not in
              ("tweet_id", "text", "created_at", "likes", "replies", "reposts", "created_ts")]
-    return (df.filter(length_ok(F.col("text"), rules.min_len, rules.max_len))
-            .withColumn("created_ts", created)
+    counters = ("likes", "replies", "reposts")
+    return (_derived(df, *extra, "tweet_id", "created_at", *counters)
+            .filter(F.col("_text_len").between(rules.min_len, rules.max_len))
             .filter(window_ok(F.col("created_ts"), rules.start, rules.end))
             .filter(total_engagement() >= rules.min_engagement)
-            .select(text.as_text(F.col("tweet_id")).alias("tweet_id"),
-                    text.strip(F.col("text")).alias("text"),
-                    "created_at", "created_ts",
-                    *[numeric.or_zero(F.col(c)).alias(c) for c in ("likes", "replies", "reposts")],
+            .select(text.as_text(F.col("tweet_id")).alias("tweet_id"), "text", "created_at", "created_ts",
+                    *[numeric.or_zero(F.col(c)).alias(c) for c in counters],
                     total_engagement().alias("engagement_total"), *extra))
 
 
-def reject_reason(rules: CandidateRules = CandidateRules()) -> Column:
-    """The first failing test of a post, or 'kept'."""
-    created = clock.parse_created_at(F.col("created_at"))
-    return (F.when(~length_ok(F.col("text"), rules.min_len, rules.max_len), "length")
-            .when(~window_ok(created, rules.start, rules.end), "date")
-            .when(total_engagement() < rules.min_engagement, "engagement")
-            .otherwise("kept"))
+def _derived(df: DataFrame, *kept: str) -> DataFrame:
+    """Stripped text, its length and the parsed time, worked out once per row.
+
+    As the output of a generator they are values to the optimizer. Plain
+    columns would be copied into each test that names them.
+    """
+    stripped = text.strip(text.text_or_empty(F.col("text")))
+    once = F.inline(F.array(F.struct(stripped.alias("text"),
+                                     clock.parse_created_at(F.col("created_at")).alias("created_ts"))))
+    return df.select(*kept, once).withColumn("_text_len", F.length("text"))
 
 
 def candidate_funnel(df: DataFrame, rules: CandidateRules = CandidateRules()) -> DataFrame:
-    return df.groupBy(reject_reason(rules).alias("reason")).agg(F.count("*").alias("posts"))
+    """Posts per first failing test, in the order length, date, engagement, or 'kept'."""
+    reason = (F.when(~F.col("_text_len").between(rules.min_len, rules.max_len), "length")
+              .when(~window_ok(F.col("created_ts"), rules.start, rules.end), "date")
+              .when(total_engagement() < rules.min_engagement, "engagement")
+              .otherwise("kept"))
+    return (_derived(df, "likes", "replies", "reposts")
+            .groupBy(reason.alias("reason")).agg(F.count("*").alias("posts")))
 
 
 def nonempty(df: DataFrame, column: str = "text") -> DataFrame:

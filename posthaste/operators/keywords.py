@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from importlib.util import find_spec
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from posthaste.operators.filters import CandidateRules, window_ok
 
 # Up to this many keywords are tested one after another inside the scan.
-MAX_INLINE = 128
+MAX_INLINE = 16
+# Up to this many keywords are sent to every executor; more are joined.
+MAX_BROADCAST = 100_000
 GRAM = 5
 
 
 def keyword_candidates(posts: DataFrame, keywords: DataFrame,
                        rules: CandidateRules = CandidateRules(),
-                       lang: str = "en", max_inline: int = MAX_INLINE) -> DataFrame:
+                       lang: str = "en", max_inline: int = MAX_INLINE,
+                       max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """Posts a search for the keywords would return.
 
     Plain tests come first: language, likes of at least a third of the wanted
@@ -27,34 +34,57 @@ def keyword_candidates(posts: DataFrame, keywords: DataFrame,
         & window_ok(F.col("created_ts"), rules.start, rules.end))
     usable = (keywords.select("kw_id", "keyword", F.lower("keyword").alias("needle"))
               .filter(F.length("needle") > 0))
-    head = usable.limit(max_inline + 1).collect()
-    if len(head) <= max_inline:
-        first = sorted(head, key=lambda k: k["kw_id"])
-        return _inline(coarse, [(k["needle"], k["keyword"]) for k in first])
-    return _by_grams(coarse, usable)
+    most = max(max_inline, max_broadcast if find_spec("ahocorasick") else 0)
+    head = sorted(usable.limit(most + 1).collect(), key=lambda k: k["kw_id"])
+    if len(head) > most:
+        return _by_grams(coarse, usable)
+    needles = [(k["needle"], k["keyword"]) for k in head]
+    return _inline(coarse, needles) if len(head) <= max_inline else _by_automaton(coarse, needles)
 
 
 def _inline(posts: DataFrame, needles: list[tuple[str, str]]) -> DataFrame:
     if not needles:
         return posts.withColumn("query_source", F.lit(None).cast("string")).filter(F.lit(False))
-    low = F.lower("text")
-    hits = [F.when(F.contains(low, F.lit(needle)), F.lit(keyword)) for needle, keyword in needles]
-    return posts.withColumn("query_source", F.coalesce(*hits)).filter("query_source is not null")
+    hits = [F.when(F.contains("_low", F.lit(needle)), F.lit(keyword)) for needle, keyword in needles]
+    return _with_source(posts, F.coalesce(*hits))
+
+
+def _with_source(posts: DataFrame, found: Column) -> DataFrame:
+    """Posts with a keyword found in ``_low``, their text in lower case.
+
+    The column leaves a generator, so that the filter on it does not make
+    Spark search each text twice.
+    """
+    once = F.inline(F.array(F.struct(found.alias("query_source"))))
+    return (posts.withColumn("_low", F.lower("text")).select(*posts.columns, once)
+            .filter("query_source is not null"))
+
+
+def _by_automaton(posts: DataFrame, needles: list[tuple[str, str]]) -> DataFrame:
+    """Many keywords: one pass over a text finds all of them.
+
+    A chain of tests reads the text once per keyword, which Arrow batches and
+    an Aho-Corasick automaton beat from some dozens of keywords on.
+    """
+    @F.pandas_udf("string")
+    def first_keyword(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+        machine = ahocorasick.Automaton()
+        for rank, (needle, _) in enumerate(needles):
+            if needle not in machine:
+                machine.add_word(needle, rank)
+        machine.make_automaton()
+        for texts in batches:
+            ranks = (min((rank for _, rank in machine.iter(t)), default=None) if t else None for t in texts)
+            yield pd.Series([None if r is None else needles[r][1] for r in ranks], dtype=object)
+
+    return _with_source(posts, first_keyword("_low"))
 
 
 def _grams(low: Column, sizes: list[int]) -> Column:
-    """Distinct runs of each size of characters, in time linear in the text."""
-    chars = F.split(low, "")
-
-    def run(size: int) -> Column:
-        # The text beside itself, shifted by one, two, ... characters; a run
-        # that would pass the end is NULL.
-        shifted = [F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars) - k, F.lit(0))).alias(f"c{k}")
-                   for k in range(size)]
-        return F.transform(F.arrays_zip(*shifted),
-                           lambda z: F.concat(*[z.getField(f"c{k}") for k in range(size)]))
-
-    return F.array_compact(F.array_distinct(F.concat(*[run(size) for size in sizes])))
+    """Distinct runs of each size of characters, overlaps included."""
+    runs = [F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sizes]
+    return F.array_distinct(F.concat(*runs))
 
 
 def _by_grams(posts: DataFrame, keywords: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ over one; only the order columns are read in the extra scans.
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 20_000
+SAMPLED_PER_RANGE = 200
 # Keys that may be sorted at once to read off one rank.
 MAX_SORTED_KEYS = 100_000
 
@@ -31,6 +33,8 @@ MAX_SORTED_KEYS = 100_000
 class RowOrder:
     columns: tuple[Column, ...]
     position: Column
+    # Set when positions are spread evenly over [0, uniform).
+    uniform: float | None = None
 
     def at_or_after(self, key: Row | None) -> Column:
         """Rows that do not sort before ``key``; None lies after every row."""
@@ -55,9 +59,9 @@ def seeded_digest(seed: int, key: str) -> Column:
 def seeded(seed: int, key: str) -> RowOrder:
     """A random but repeatable order: by digest of seed and key, then by key."""
     digest = seeded_digest(seed, key)
-    # 13 hex digits fill the 52 bits a double holds exactly.
+    # 13 hex digits are 52 bits, which a double holds exactly.
     head = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double")
-    return RowOrder((digest, F.col(key)), head)
+    return RowOrder((digest, F.col(key)), head, uniform=2.0 ** 52)
 
 
 def range_count(df: DataFrame, rows: int, rows_per_range: int = ROWS_PER_RANGE) -> int:
@@ -66,13 +70,25 @@ def range_count(df: DataFrame, rows: int, rows_per_range: int = ROWS_PER_RANGE)
     return min(MAX_RANGES, max(slots, 2, math.ceil(rows / rows_per_range)))
 
 
-def range_bounds(df: DataFrame, position: Column, ranges: int) -> list[float]:
-    """At most ``ranges - 1`` increasing cut points of about equal row counts."""
+def range_bounds(df: DataFrame, position: Column, rows: int, ranges: int) -> list[float]:
+    """At most ``ranges - 1`` increasing cut points of about equal row counts.
+
+    They only balance the work, so a sample will do: every row is counted and
+    placed afterwards. Sampling keeps the sketch that one task must merge small.
+    """
+    share = min(1.0, SAMPLED_PER_RANGE * ranges / max(rows, 1))
+    drawn = df if share == 1.0 else df.sample(fraction=share, seed=0)
     probabilities = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(position, probabilities, max(10_000, 20 * ranges))).first()[0]
+    found = drawn.agg(F.percentile_approx(position, probabilities, max(10_000, 10 * ranges))).first()[0]
     return sorted(set(found or []))
 
 
+def _order_bounds(keys: DataFrame, order: RowOrder, rows: int, ranges: int) -> list[float]:
+    if order.uniform:
+        return [order.uniform * i / ranges for i in range(1, ranges)]
+    return range_bounds(keys, F.col("_at"), rows, ranges)
+
+
 def with_range(df: DataFrame, position: str, bounds: Sequence[float], name: str) -> DataFrame:
     """Add the number of the half-open range that holds ``position``."""
     if not bounds:
@@ -96,7 +112,8 @@ def with_ordinal(df: DataFrame, order: RowOrder, name: str = "ordinal",
     spark = df.sparkSession
     placed = df.withColumn("_at", order.position)
     positions = df.select(order.position.alias("_at"))
-    bounds = range_bounds(positions, F.col("_at"), range_count(df, df.count(), rows_per_range))
+    rows = df.count()
+    bounds = _order_bounds(positions, order, rows, range_count(df, rows, rows_per_range))
     offsets, total = [], 0
     for index, size in enumerate(_range_sizes(positions, bounds)):
         offsets.append((index, total))
@@ -113,37 +130,54 @@ def with_ordinal(df: DataFrame, order: RowOrder, name: str = "ordinal",
 def keys_at(df: DataFrame, order: RowOrder, ranks: Sequence[int]) -> list[Row | None]:
     """The order key found at each 0-based rank; None past the end.
 
-    Counting rows per range finds the range that holds a rank; the range is
-    split again until few enough keys are left to sort. Rows are compared with
-    the key afterwards, so selecting by rank needs no shuffle of the rows.
+    Counting rows per range finds the range that holds a rank, and only the
+    keys of such ranges are sorted. Rows are compared with the key afterwards,
+    so selecting by rank needs no shuffle of the rows.
     """
     names = [f"_k{i}" for i in range(len(order.columns))]
     keys = df.select(*[c.alias(n) for c, n in zip(order.columns, names)],
                      order.position.alias("_at"))
     total = keys.count()
-    top = _split(keys, total) if total > MAX_SORTED_KEYS else None
-    return [_key_at(keys, names, total, rank, top) if 0 <= rank < total else None
-            for rank in ranks]
-
-
-def _split(keys: DataFrame, rows: int) -> tuple[list[float], list[int]]:
-    bounds = range_bounds(keys, F.col("_at"), range_count(keys, rows, MAX_SORTED_KEYS // 2))
-    return bounds, _range_sizes(keys, bounds)
-
-
-def _key_at(keys: DataFrame, names: list[str], rows: int, rank: int,
-            split: tuple[list[float], list[int]] | None) -> Row:
-    while rows > MAX_SORTED_KEYS:
-        bounds, sizes = split or _split(keys, rows)
-        split = None
-        ends = [sum(sizes[:i + 1]) for i in range(len(sizes))]
-        held = bisect.bisect_right(ends, rank)
-        if sizes[held] == rows:
+    found = _find(keys, names, order, total, sorted({r for r in ranks if 0 <= r < total}))
+    return [found.get(r) for r in ranks]
+
+
+def _find(keys: DataFrame, names: list[str], order: RowOrder | None, rows: int,
+          ranks: list[int]) -> dict[int, Row]:
+    if not ranks:
+        return {}
+    bounds: list[float] = []
+    sizes = [rows]
+    if rows > MAX_SORTED_KEYS:
+        ranges = range_count(keys, rows, MAX_SORTED_KEYS // 2)
+        bounds = (_order_bounds(keys, order, rows, ranges) if order
+                  else range_bounds(keys, F.col("_at"), rows, ranges))
+        sizes = _range_sizes(keys, bounds)
+        if max(sizes) == rows:
             raise ValueError("the order key is not unique: too many rows share one position")
-        if held > 0:
-            keys = keys.filter(F.col("_at") >= F.lit(bounds[held - 1]))
-            rank -= ends[held - 1]
-        if held < len(bounds):
-            keys = keys.filter(F.col("_at") < F.lit(bounds[held]))
-        rows = sizes[held]
-    return keys.select(*names).orderBy(*names).offset(rank).limit(1).first()
+    starts = [0, *itertools.accumulate(sizes)]
+    held: dict[int, list[int]] = {}
+    for rank in ranks:
+        held.setdefault(bisect.bisect_right(starts, rank) - 1, []).append(rank)
+
+    found: dict[int, Row] = {}
+    sortable = [r for r in held if sizes[r] <= MAX_SORTED_KEYS]
+    if sortable:
+        inside = Window.partitionBy("_range").orderBy(*names)
+        wanted = F.lit(False)
+        for r in sortable:
+            nths = [rank - starts[r] + 1 for rank in held[r]]
+            wanted = wanted | ((F.col("_range") == r) & F.col("_nth").isin(nths))
+        rows_found = (with_range(keys, "_at", bounds, "_range").filter(F.col("_range").isin(sortable))
+                      .withColumn("_nth", F.row_number().over(inside)).filter(wanted).collect())
+        for row in rows_found:
+            found[starts[row["_range"]] + row["_nth"] - 1] = Row(*[row[n] for n in names])
+    for r in set(held) - set(sortable):
+        part = keys
+        if r > 0:
+            part = part.filter(F.col("_at") >= F.lit(bounds[r - 1]))
+        if r < len(bounds):
+            part = part.filter(F.col("_at") < F.lit(bounds[r]))
+        deeper = _find(part, names, None, sizes[r], [rank - starts[r] for rank in held[r]])
+        found.update({starts[r] + rank: key for rank, key in deeper.items()})
+    return found

@@ -48,8 +48,9 @@ def average_ranks(df: DataFrame, column: str, groups: Sequence[str] = (),
     row. Ranges of values are ranked apart and shifted by the rows before them.
     """
     groups = list(groups)
-    bounds = ranks.range_bounds(df, F.col(column).cast("double"),
-                                ranks.range_count(df, df.count(), rows_per_range))
+    rows = df.count()
+    bounds = ranks.range_bounds(df, F.col(column).cast("double"), rows,
+                                ranks.range_count(df, rows, rows_per_range))
     counts = (df.groupBy(*groups, column).agg(F.count("*").alias("_n"))
               .withColumn("_at", F.col(column).cast("double")))
     ranged = ranks.with_range(counts, "_at", bounds, "_range")
@@ -321,7 +322,7 @@ def _residual_shape(n: int, skew: float | None, excess: float | None) -> dict:
 def _durbin_watson(residuals: DataFrame, order: str, rss: float, n: int, rows_per_range: int) -> float:
     """Squared steps between neighbours, within ranges and across their ends."""
     placed = residuals.withColumn("_at", F.col(order).cast("double"))
-    bounds = ranks.range_bounds(placed, F.col("_at"), ranks.range_count(residuals, n, rows_per_range))
+    bounds = ranks.range_bounds(placed, F.col("_at"), n, ranks.range_count(residuals, n, rows_per_range))
     ranged = ranks.with_range(placed, "_at", bounds, "_range")
     inside = Window.partitionBy("_range").orderBy(order)
     step = F.col("_e") - F.lag("_e").over(inside)

@@ -271,6 +271,14 @@ def keyword_search_many(spark, sf):
     return found.select("ord", "query_source")
 
 
+@query(SQL["keyword_search_many"])
+def keyword_search_joined(spark, sf):
+    phrases = samples.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("kw_id"), F.substring_index("text", " ", 2).alias("keyword"))
+    found = keywords.keyword_candidates(samples.posts(spark, sf), phrases, RULES, max_inline=0, max_broadcast=0)
+    return found.select("ord", "query_source")
+
+
 @query(f"WITH {PREDICTIONS} SELECT ord, round(p, 6) AS p FROM predictions WHERE p >= 0.5")
 def score_threshold(spark, sf):
     return _rounded(filters.filter_scored(samples.predictions(spark, sf), 0.5, "p").select("ord", "p"))
@@ -432,7 +440,8 @@ def parse_created(spark, sf):
 
 
 @query("""SELECT doc_id AS ord, CASE doc_id % 10 WHEN 0 THEN n_chars / 1e1 WHEN 1 THEN n_chars / 1e1
-    WHEN 2 THEN n_chars * 1e0 WHEN 3 THEN CAST('inf' AS DOUBLE) END AS number FROM documents""")
+    WHEN 2 THEN n_chars * 1e0 WHEN 3 THEN CAST('inf' AS DOUBLE)
+    WHEN 8 THEN TRY_CAST(trim(substring(text, 1, 5)) AS DOUBLE) END AS number FROM documents""")
 def coerce_number(spark, sf):
     n, turn = F.col("n_chars"), F.col("doc_id") % 10
     tenth = (n / F.lit(10.0)).cast("string")
