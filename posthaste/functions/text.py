@@ -28,12 +28,13 @@ def to_number(value: Column) -> Column:
     """A double, or NULL where the text is not a number.
 
     Spark also reads Java's ``1d``/``1f`` suffixes and hex floats as numbers;
-    those are refused. NaN counts as missing.
+    those are refused. NaN and digits too large for a double count as missing.
     """
     text = value.cast("string")
     java_only = text.rlike(r"(?i)[0-9.][df]\s*$|x")
     number = F.when(~java_only, text.try_cast("double"))
-    return F.nanvl(number, F.lit(None).cast("double"))
+    overflow = (F.abs(number) == float("inf")) & text.rlike("[0-9]")
+    return F.when(~F.isnan(number) & ~overflow, number)
 
 
 def is_missing(value: Column) -> Column:

@@ -141,7 +141,12 @@ def test_ordinal_is_exact_for_any_layout(spark, rows_per_range, partitions):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1009 - 300).alias("k")).repartition(partitions)
     placed = ranks.with_ordinal(rows, ranks.by_column("k"), "o", rows_per_range).orderBy("k").collect()
     assert [r["o"] for r in placed] == list(range(1000))
-    assert "SinglePartition" not in plan(ranks.with_ordinal(rows, ranks.by_column("k")))
+
+
+def test_ordinal_never_gathers_the_table(spark):
+    rows = spark.range(1000)
+    assert "SinglePartition" not in plan(ranks.with_ordinal(rows, ranks.by_column("id")))
+    assert "SinglePartition" not in plan(ranks.with_ordinal(rows, ranks.seeded(1, "id")))
 
 
 def test_rank_lookup_narrows_down(spark, monkeypatch):
