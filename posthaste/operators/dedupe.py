@@ -36,14 +36,16 @@ def clean(df: DataFrame, order: str = "ord") -> DataFrame:
             .agg(F.min(order).alias("ord")).select("ord", "text"))
 
 
-def exclude_seen(new: DataFrame, existing: DataFrame, key: str = "tweet_id") -> DataFrame:
+def exclude_seen(new: DataFrame, existing: DataFrame, key: str = "tweet_id",
+                 arrivals: DataFrame | None = None) -> DataFrame:
     """Rows of ``new`` whose key is not stored yet.
 
     The stored keys that recur in ``new`` are looked up first. That result is
     no larger than ``new``, so Spark can broadcast the small batch to the big
-    table instead of shuffling the big table's keys.
+    table instead of shuffling the big table's keys. ``arrivals`` may name a
+    cheaper frame with the same keys.
     """
-    wanted = new.select(key).distinct()
+    wanted = (new if arrivals is None else arrivals).select(key).distinct()
     recurring = existing.select(key).join(wanted, key, "left_semi")
     return new.join(recurring, key, "left_anti")
 
@@ -63,7 +65,9 @@ def merge_keep_existing(existing: DataFrame, new: DataFrame, order: str | Sequen
 
 def new_rows(existing: DataFrame, new: DataFrame, order: str | Sequence[str],
              key: str = "tweet_id") -> DataFrame:
-    return exclude_seen(keep_first(new, [key], order), existing, key)
+    """First rows of keys that are not stored. Duplicates go first, so that a
+    key with many copies meets the join as one row."""
+    return exclude_seen(keep_first(new, [key], order), existing, key, arrivals=new)
 
 
 def attach(df: DataFrame, results: DataFrame, key: str = "ord") -> DataFrame:

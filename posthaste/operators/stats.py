@@ -131,23 +131,48 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [name for name, kind in df.dtypes if kind in kinds]
 
 
-def _pearson(a: Column, b: Column) -> Column:
-    """Aggregate: r over rows with both values; NULL when one does not vary.
+def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Pearson r of every pair of columns, from the rows where both are present.
 
-    Spark's corr fails on a constant column in ANSI mode.
+    r is NULL when one of the two does not vary. Like :func:`moments`, this is
+    matrix products per task: one aggregate per pair in the JVM makes a method
+    too long to be compiled from some eight columns on.
     """
-    return F.try_divide(F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b)) * F.sqrt(F.regr_syy(a, b)))
-
-
-def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson r of every pair of columns, from the rows where both are present."""
-    pairs = list(itertools.combinations_with_replacement(range(len(columns)), 2))
+    columns = list(columns)
+    p = len(columns)
     rows = df.select(*[_number(c).alias(f"_{i}") for i, c in enumerate(columns)])
-    one = rows.agg(*[_pearson(F.col(f"_{i}"), F.col(f"_{j}")).alias(f"r_{i}_{j}") for i, j in pairs])
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(columns[x]).alias("a"), F.lit(columns[y]).alias("b"),
-                 F.col(f"r_{i}_{j}").alias("r"))
-        for i, j in pairs for x, y in sorted({(i, j), (j, i)})])))
+    means = rows.agg(*[F.avg(c) for c in rows.columns]).first()
+    mean = np.array([0.0 if v is None else v for v in means])
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((4, p, p))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float) - mean
+            present = ~np.isnan(x)
+            x[~present] = 0.0
+            mask = present.astype(float)
+            total += np.stack([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x])
+        i, j = np.indices((p, p))
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(),
+                            **{k: t.ravel() for k, t in zip(("n", "sx", "sxx", "sxy"), total)}})
+
+    cells = (rows.mapInPandas(products, "i int, j int, n double, sx double, sxx double, sxy double")
+             .groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "sx", "sxx", "sxy")]).collect())
+    at = {(c["i"], c["j"]): c for c in cells}
+
+    def r(i: int, j: int) -> float | None:
+        a, b = at.get((i, j)), at.get((j, i))
+        if a is None or a["n"] < 2:
+            return None
+        spread = [max(0.0, c["sxx"] - c["sx"] ** 2 / c["n"]) for c in (a, b)]
+        # Rounding leaves a trace of spread in a constant column.
+        if any(v <= c["n"] * (1e-12 * m) ** 2 for v, c, m in zip(spread, (a, b), (mean[i], mean[j]))):
+            return None
+        found = (a["sxy"] - a["sx"] * b["sx"] / a["n"]) / math.sqrt(spread[0] * spread[1])
+        return float(min(1.0, max(-1.0, found)))
+
+    return df.sparkSession.createDataFrame(
+        [(columns[i], columns[j], r(i, j)) for i in range(p) for j in range(p)], "a string, b string, r double")
 
 
 def pair_bins(df: DataFrame, columns: Sequence[str], bins: int = 20) -> DataFrame:

@@ -25,11 +25,16 @@ def collect(arrivals: DataFrame, existing: DataFrame, order: str | Sequence[str]
 
 def collect_into(table_dir: str, arrivals: DataFrame, order: str | Sequence[str],
                  rules: filters.CandidateRules = filters.CandidateRules()) -> DataFrame:
-    """Append the new candidates to a stored table and return the table."""
+    """Append the new candidates to a stored table and return the table.
+
+    They are staged first: the look-up in the stored table runs once, and an
+    empty result leaves the table alone.
+    """
     spark = arrivals.sparkSession
     existing = tables.read_or_empty(spark, table_dir, schemas.CANDIDATES)
     found = collect(arrivals, existing, order, rules).withColumn("collected_at", clock.collected_at())
-    tables.append_new(spark, table_dir, found.select(*schemas.CANDIDATES.fieldNames()))
+    staged = tables.stored(found.select(*schemas.CANDIDATES.fieldNames()), "accepted")
+    tables.append_new(staged, table_dir)
     return tables.read_or_empty(spark, table_dir, schemas.CANDIDATES)
 
 

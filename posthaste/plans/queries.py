@@ -808,7 +808,7 @@ def prepare_training(spark, sf):
 
 
 def _prepared(spark, sf):
-    return tables.stored(training.prepare_training(samples.training(spark, sf)), "training")
+    return tables.stored(training.prepare_training(samples.training(spark, sf)), "training", spread_by="ord")
 
 
 @query()

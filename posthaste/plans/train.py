@@ -24,8 +24,8 @@ def train(df: DataFrame, output_dir: str, space: Mapping = model.SEARCH_SPACE,
     subsample; everything after it uses all training rows.
     """
     spark = df.sparkSession
-    # Stored once: the splits below scan it several times.
-    prepared = tables.stored(training.prepare_training(df), "training")
+    # Stored once: the splits and fits below scan it many times.
+    prepared = tables.stored(training.prepare_training(df), "training", spread_by="ord")
 
     train_val, test = splits.holdout(prepared, test_size, seed)
     searched = train_val

@@ -56,12 +56,20 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("compression", "snappy").parquet(path)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, spread_by: str | None = None) -> DataFrame:
     """Write an intermediate result to the shared folder and read it back, so
-    later scans neither repeat the work nor depend on its lineage."""
-    path = work_dir(df.sparkSession, name)
+    later scans neither repeat the work nor depend on its lineage.
+
+    With ``spread_by``, a column without hot values, there is at least one file
+    per task slot, for results that are scanned many times.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, name)
+    if spread_by:
+        files = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        df = df.repartition(files, spread_by)
     write_table(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def published_versions(spark: SparkSession, table_dir: str) -> list[int]:
@@ -101,7 +109,7 @@ def read_chunks(spark: SparkSession, directory: str, schema: T.StructType) -> Da
     return spark.read.schema(schema).parquet(*runs)
 
 
-def append_new(spark: SparkSession, table_dir: str, new: DataFrame) -> None:
+def append_new(new: DataFrame, table_dir: str) -> None:
     """Add rows to a table without rewriting it; an empty frame writes nothing."""
     if not new.isEmpty():
         write_table(new, table_dir, "append")

@@ -254,7 +254,12 @@ def test_correlation_equals_numpy_and_skips_missing_pairs(spark, numbers):
     for (i, p), (j, q) in itertools.product(enumerate("abc"), repeat=2):
         assert found[p, q] == pytest.approx(expected[i, j])
     assert stats.corr_matrix(df, ["a", "b"]).count() == 4
-    constant = df.withColumn("k", F.lit(1.0))
+    # Each pair drops its own incomplete rows, as pandas does.
+    pdf = df.toPandas()
+    holes = {(r["a"], r["b"]): r["r"] for r in stats.corr_matrix(df, ["a", "b", "c"]).collect()}
+    for p, q in itertools.product("abc", repeat=2):
+        assert holes[p, q] == pytest.approx(pdf[["a", "b", "c"]].corr().loc[p, q])
+    constant = df.withColumn("k", F.lit(0.1))
     assert {r["r"] for r in stats.corr_matrix(constant, ["k", "a"]).filter("a = 'k' or b = 'k'").collect()} == {None}
 
 
