@@ -108,18 +108,18 @@ def require_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df
 
 
-def score_check(df: DataFrame, column: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
-    """One row: rows in all, rows without a number, rows out of range."""
+def score_check(df: DataFrame, column: str, *more: Column, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """One row: rows in all, rows without a number, rows out of range, ``more``."""
     value = F.col(column)
     missing = text.is_missing(value)
     return df.agg(F.count("*").alias("n_rows"),
                   F.count_if(missing).alias("n_missing"),
-                  F.count_if(~missing & ~value.between(low, high)).alias("n_out_of_range"))
+                  F.count_if(~missing & ~value.between(low, high)).alias("n_out_of_range"), *more)
 
 
 def assert_range(df: DataFrame, column: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Fail when any number lies outside [low, high]; missing values are not counted."""
-    bad = score_check(df, column, low, high).first()["n_out_of_range"]
+    bad = score_check(df, column, low=low, high=high).first()["n_out_of_range"]
     if bad:
         raise ValueError(f"{bad} rows have '{column}' outside [{low:g}, {high:g}]")
     return df
