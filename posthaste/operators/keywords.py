@@ -87,18 +87,30 @@ def _grams(low: Column, sizes: list[int]) -> Column:
     return F.array_distinct(F.concat(*runs))
 
 
+def _anchored(keywords: DataFrame) -> DataFrame:
+    """(kw_id, needle, gram): of each distinct keyword the run of characters it
+    shares with the fewest others, so that no run stands for a third of them."""
+    distinct = keywords.groupBy("needle").agg(F.min("kw_id").alias("kw_id"))
+    runs = F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(_grams(F.col("needle"), [GRAM]))
+    each = distinct.select("kw_id", "needle", F.explode(runs).alias("gram"))
+    shared = each.groupBy("gram").agg(F.count("*").alias("n"))
+    return (each.join(shared, "gram").groupBy("kw_id", "needle")
+            .agg(F.min(F.struct("n", "gram")).alias("least"))
+            .select("kw_id", "needle", "least.gram"))
+
+
 def _by_grams(posts: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Any number of keywords: an equi-join on the first characters of each.
+    """Any number of keywords: an equi-join on a few characters of each.
 
-    A text that contains a keyword also contains its first GRAM characters, so
-    joining on these loses no match; ``contains`` then decides. Texts are not
-    carried through the explode, only keys and runs of characters are.
+    A text that contains a keyword also contains every run of its characters,
+    so joining on one run loses no match; ``contains`` then decides. Texts are
+    not carried through the explode, only keys and runs of characters are.
     """
-    anchored = keywords.withColumn("gram", F.substring("needle", 1, GRAM))
-    sizes = sorted(r[0] for r in anchored.select(F.length("gram")).distinct().collect())
+    anchored = _anchored(keywords)
+    lengths = keywords.select(F.least(F.length("needle"), F.lit(GRAM)).alias("n")).distinct().collect()
     low = posts.select("ord", F.lower("text").alias("low"))
-    likely = (low.select("ord", F.explode(_grams(F.col("low"), sizes)).alias("gram"))
-              .join(anchored.select("gram", "kw_id", "needle"), "gram").drop("gram"))
+    likely = (low.select("ord", F.explode(_grams(F.col("low"), sorted(r["n"] for r in lengths))).alias("gram"))
+              .join(anchored, "gram").drop("gram"))
     hits = (likely.join(low, "ord").filter(F.contains("low", "needle"))
             .groupBy("ord").agg(F.min("kw_id").alias("kw_id")))
     named = hits.join(keywords.select("kw_id", F.col("keyword").alias("query_source")), "kw_id")
