@@ -70,8 +70,9 @@ def range_count(df: DataFrame, rows: int, rows_per_range: int = ROWS_PER_RANGE)
     return min(MAX_RANGES, max(slots, 2, math.ceil(rows / rows_per_range)))
 
 
-def range_bounds(df: DataFrame, position: Column, rows: int, ranges: int) -> list[float]:
-    """At most ``ranges - 1`` increasing cut points of about equal row counts.
+def range_bounds(df: DataFrame, positions: Sequence[Column], rows: int, ranges: int) -> list[list[float]]:
+    """For each position at most ``ranges - 1`` increasing cut points of about
+    equal row counts.
 
     They only balance the work, so a sample will do: every row is counted and
     placed afterwards. Sampling keeps the sketch that one task must merge small.
@@ -79,14 +80,14 @@ def range_bounds(df: DataFrame, position: Column, rows: int, ranges: int) -> lis
     share = min(1.0, SAMPLED_PER_RANGE * ranges / max(rows, 1))
     drawn = df if share == 1.0 else df.sample(fraction=share, seed=0)
     probabilities = [i / ranges for i in range(1, ranges)]
-    found = drawn.agg(F.percentile_approx(position, probabilities, max(10_000, 10 * ranges))).first()[0]
-    return sorted(set(found or []))
+    found = drawn.agg(*[F.percentile_approx(p, probabilities, max(10_000, 10 * ranges)) for p in positions]).first()
+    return [sorted(set(cuts or [])) for cuts in found]
 
 
 def _order_bounds(keys: DataFrame, order: RowOrder, rows: int, ranges: int) -> list[float]:
     if order.uniform:
         return [order.uniform * i / ranges for i in range(1, ranges)]
-    return range_bounds(keys, F.col("_at"), rows, ranges)
+    return range_bounds(keys, [F.col("_at")], rows, ranges)[0]
 
 
 def with_range(df: DataFrame, position: str, bounds: Sequence[float], name: str) -> DataFrame:
@@ -151,7 +152,7 @@ def _find(keys: DataFrame, names: list[str], order: RowOrder | None, rows: int,
     if rows > MAX_SORTED_KEYS:
         ranges = range_count(keys, rows, MAX_SORTED_KEYS // 2)
         bounds = (_order_bounds(keys, order, rows, ranges) if order
-                  else range_bounds(keys, F.col("_at"), rows, ranges))
+                  else range_bounds(keys, [F.col("_at")], rows, ranges)[0])
         sizes = _range_sizes(keys, bounds)
         if max(sizes) == rows:
             raise ValueError("the order key is not unique: too many rows share one position")

@@ -39,18 +39,16 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str,
             .withColumn("rmse", F.sqrt("mse")))
 
 
-def average_ranks(df: DataFrame, column: str, groups: Sequence[str] = (),
-                  rows_per_range: int = ranks.ROWS_PER_RANGE) -> DataFrame:
+def average_ranks(df: DataFrame, column: str, bounds: Sequence[float],
+                  groups: Sequence[str] = ()) -> DataFrame:
     """Every distinct value with its 1-based rank in the group, ties averaged,
     and that rank less the mean rank.
 
     Works on value counts, so a value that a third of the rows share is one
-    row. Ranges of values are ranked apart and shifted by the rows before them.
+    row. The ranges of values between ``bounds`` are ranked apart and shifted
+    by the rows before them.
     """
     groups = list(groups)
-    rows = df.count()
-    bounds = ranks.range_bounds(df, F.col(column).cast("double"), rows,
-                                ranks.range_count(df, rows, rows_per_range))
     counts = (df.groupBy(*groups, column).agg(F.count("*").alias("_n"))
               .withColumn("_at", F.col(column).cast("double")))
     ranged = ranks.with_range(counts, "_at", bounds, "_range")
@@ -76,8 +74,10 @@ def spearman(df: DataFrame, a: str, b: str, groups: Sequence[str] = (),
     groups = list(groups)
     rows = complete_cases(df.select(*groups, a, b), [a, b])
     joined = rows.groupBy(*groups, a, b).agg(F.count("*").alias("_n"))
-    for column, name in ((a, "_ra"), (b, "_rb")):
-        found = average_ranks(rows, column, groups, rows_per_range)
+    n_rows = rows.count()
+    cuts = ranks.range_bounds(rows, [F.col(a), F.col(b)], n_rows, ranks.range_count(rows, n_rows, rows_per_range))
+    for column, name, bounds in ((a, "_ra", cuts[0]), (b, "_rb", cuts[1])):
+        found = average_ranks(rows, column, bounds, groups)
         joined = joined.join(found.select(*groups, column, F.col("centred_rank").alias(name)),
                              [*groups, column])
     n, ra, rb = F.col("_n"), F.col("_ra"), F.col("_rb")
@@ -347,7 +347,7 @@ def _residual_shape(n: int, skew: float | None, excess: float | None) -> dict:
 def _durbin_watson(residuals: DataFrame, order: str, rss: float, n: int, rows_per_range: int) -> float:
     """Squared steps between neighbours, within ranges and across their ends."""
     placed = residuals.withColumn("_at", F.col(order).cast("double"))
-    bounds = ranks.range_bounds(placed, F.col("_at"), n, ranks.range_count(residuals, n, rows_per_range))
+    [bounds] = ranks.range_bounds(placed, [F.col("_at")], n, ranks.range_count(residuals, n, rows_per_range))
     ranged = ranks.with_range(placed, "_at", bounds, "_range")
     inside = Window.partitionBy("_range").orderBy(order)
     step = F.col("_e") - F.lag("_e").over(inside)
