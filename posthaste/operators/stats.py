@@ -12,8 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from posthaste.functions import numeric, text
-from posthaste.functions import tails
+from posthaste.functions import numeric, tails
 from posthaste.operators import ranks
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from posthaste.operators import encoding, rubric, stats
+from posthaste.operators import encoding, stats
 
 LABELS = ("text", "content_type", "rhetorical_target")
 

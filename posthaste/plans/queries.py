@@ -11,7 +11,7 @@ from posthaste import schemas
 from posthaste.functions import clock, numeric, text
 from posthaste.operators import (annotate, dedupe, encoding, filters, keywords, model, ranks, reports,
                                  rubric, splits, stats, training)
-from posthaste.operators.rubric import CHOICES, NOUL, NUMERIC, QUESTIONS, SCORES
+from posthaste.operators.rubric import CHOICES, NOUL, NUMERIC, QUESTIONS
 from posthaste.plans import curate, train
 from posthaste.session import work_dir
 from posthaste.sources import history, samples, tables
