@@ -8,6 +8,7 @@ and the joins read tables, which lets Spark split the rows of a hub.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,22 +46,28 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forest of a task's links; beyond two blocks of links they leave in parts."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def flush() -> pa.RecordBatch:
-        child, root = _forest(*(np.concatenate(side) for side in zip(*held)))
-        held.clear()
+    def forest() -> tuple[np.ndarray, np.ndarray]:
+        return _forest(*(np.concatenate(side) for side in zip(*held)))
+
+    def rows(child: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
         return pa.record_batch([pa.array(child, pa.int64()), pa.array(root, pa.int64())], ["a", "b"])
 
     count = 0
     for batch in batches:
         held.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
         count += batch.num_rows
-        if count >= BLOCK_LINKS:
-            yield flush()
-            count = 0
+        if count >= 2 * BLOCK_LINKS:
+            # What was joined so far stays, so that links of one task meet.
+            held = [forest()]
+            count = len(held[0][0])
+            if count >= BLOCK_LINKS:
+                yield rows(*held.pop())
+                count = 0
     if held:
-        yield flush()
+        yield rows(*forest())
 
 
 def _is_done(links: DataFrame) -> bool:
@@ -77,10 +84,15 @@ def components(links: DataFrame) -> DataFrame:
     smallest of its component, and that smallest node.
 
     Links of a node to itself and null ends are ignored; an empty table gives
-    an empty one. The rounds grow with the logarithm of the longest path.
+    an empty one. The rounds grow with the logarithm of the longest path. Give
+    a stored table, as it is read twice.
     """
     known = links.select("a", "b").filter("a != b")
-    held = stored(known.mapInArrow(_shrink, "a long, b long").distinct(), "links")
+    blocks = math.ceil(known.count() / BLOCK_LINKS)
+    # Few links are one block, whose forest is the result; more are dealt to blocks as they are stored.
+    held = stored(known.coalesce(max(1, blocks)).mapInArrow(_shrink, "a long, b long"), "links")
+    if blocks <= 1:
+        return held.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while not _is_done(held):
         both = held.unionByName(held.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stored(both.groupBy("a").agg(F.min("b").alias("m"))

@@ -289,18 +289,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     texts = None
     done: list[DataFrame] = []
-
-    def rooted() -> DataFrame:
-        return stored(members.join(components(reduce(DataFrame.unionByName, links)), "node", "left")
-                      .withColumn("root", F.coalesce("root", "node")), "rooted")
-
+    roots = components(links[0])
     for turn in range(3):
         if turn == 0:
             pairs = _central_pairs(members)
-        elif turn == 1:
-            pairs = _second_pairs(rooted())
         else:
-            pairs = _tile_pairs(rooted(), nodes, texts, width, percent)
+            rooted = stored(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+            pairs = (_second_pairs(rooted) if turn == 1 else
+                     _tile_pairs(rooted, nodes, texts, width, percent))
         if done:
             pairs = pairs.join(reduce(DataFrame.unionByName, done), ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -312,8 +308,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             texts = stored(docs.filter("text is not null").join(wanted, "doc_id", "left_semi"), "texts")
         checked = _checked(texts, pairs, width, percent)
         done.append(checked.select("a", "b"))
-        links.append(checked.filter("linked").select("a", "b"))
-    roots = components(reduce(DataFrame.unionByName, links))
+        found = checked.filter("linked").select("a", "b")
+        if not found.isEmpty():
+            links.append(found)
+            roots = components(stored(reduce(DataFrame.unionByName, links), "links"))
     return (named.join(roots, "node", "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "node")).alias("component_id"))
