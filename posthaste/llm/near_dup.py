@@ -305,7 +305,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if texts is None:
             # Every node that shares a bucket is in a pair of the first turn.
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-            texts = stored(docs.filter("text is not null").join(wanted, "doc_id", "left_semi"), "texts")
+            # As many ids as documents with a copy: never broadcast, so the plan is the same at every size.
+            texts = stored(docs.filter("text is not null").join(wanted.hint("merge"), "doc_id", "left_semi"), "texts")
         checked = _checked(texts, pairs, width, percent)
         done.append(checked.select("a", "b"))
         found = checked.filter("linked").select("a", "b")
