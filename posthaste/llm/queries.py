@@ -72,4 +72,84 @@ QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_shards, op3_url_rules, op4_contamination, op5_licenses, op6_quality,
     op7_language, op8_top_inner_products, op9_secrets, op10_mixture, pipeline)}
 
-SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_URL_RULES = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)
+
+# Operators that are trained, packed or scheduled, or need checksums, have no SQL; tests hold
+# them against plain versions.
+SQL = {
+    "op1_near_duplicates": f"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(coalesce({_LOWER.format('text')}, ''), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN list_slice(w, 1, 3) ELSE list_slice(w, i, i + 2) END AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        c AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+            FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        e AS (
+            SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+            WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+        r AS (
+            SELECT doc_id AS x, doc_id AS y FROM d
+            UNION
+            SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+        k AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY 1)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.component_id, d.doc_id = k.component_id AS kept
+        FROM d LEFT JOIN n USING (doc_id) JOIN k USING (doc_id)""",
+    "op3_url_rules": f"""
+        WITH rules(verdict, rule, h, p) AS (VALUES {_URL_RULES}),
+        u AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest
+            FROM pages),
+        s AS (
+            SELECT page_id, coalesce({_LOWER.format("regexp_extract(rest, '^[^/?#]*')")}, '') AS host,
+                   coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+            FROM u),
+        f AS (
+            SELECT s.*, (SELECT max_by(struct_pack(rule := rule, verdict := verdict), length(rule)) FROM rules
+                         WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS best
+            FROM s)
+        SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM f""",
+    "op4_contamination": f"""
+        WITH b AS (
+            SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(
+                coalesce({_LOWER.format('text')}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM benchmark),
+        windows AS (
+            SELECT DISTINCT item, list_slice(w, i, i + 12) AS g
+            FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 11))) AS i FROM b WHERE len(w) > 0)),
+        d AS (
+            SELECT row_number() OVER () AS line, doc_id, regexp_extract_all(
+                coalesce({_LOWER.format('text')}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+            FROM documents),
+        spots AS (
+            SELECT line, i, n, list_slice(w, i, i + n - 1) AS g
+            FROM (SELECT line, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                  FROM d, (SELECT DISTINCT len(g) AS n FROM windows))),
+        found AS (SELECT line, i, n, item FROM spots JOIN windows USING (g)),
+        hit AS (
+            SELECT line, count(DISTINCT place) AS n_hit
+            FROM (SELECT line, unnest(range(i, i + n)) AS place FROM found) GROUP BY 1),
+        items AS (
+            SELECT line, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT line, item FROM found) GROUP BY 1)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN hit USING (line) LEFT JOIN items USING (line)""",
+    "op8_top_inner_products": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        p AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i])) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.x) = len(c.x)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= 5""",
+}
