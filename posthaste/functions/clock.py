@@ -13,17 +13,17 @@ WINDOW_DAYS = 14
 # the date. It is dropped because Spark does not parse weekdays.
 _WEEKDAYS = ("Mon ", "Tue ", "Wed ", "Thu ", "Fri ", "Sat ", "Sun ")
 _POSTED = (r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)\s+([a-z]{3})\s+(\d{1,2})\s+"
-           r"(\d{1,2}:\d{1,2}:\d{1,2})\s+([+-]\d\d):?(\d\d)\s+(\d{4})$")
+           r"(\d{1,2}:\d{1,2}:\d{1,2})\s+((?-i:Z))?(?:([+-]\d\d):?(\d\d):?(\d\d)?)?\s+(\d{4})$")
 
 
 def parse_created_at(text: Column) -> Column:
     """The instant a post was made; NULL for malformed or missing text."""
     usual = F.when(F.substring(text, 1, 4).isin(*_WEEKDAYS),
                    F.try_to_timestamp(F.substring(text, 5, 100), F.lit("MMM d HH:mm:ss Z yyyy")))
-    # Only text of another make comes here: letter case, spaces, short hours.
+    # Only text of another make comes here: letter case, spaces, short hours, other offsets.
     # The "@" makes text without a weekday fail the parse.
-    bare = F.regexp_replace(text, _POSTED, "@$1 $2 $3 $4$5 $6")
-    unusual = F.try_to_timestamp(F.initcap(bare), F.lit("'@'MMM d H:m:s Z yyyy"))
+    bare = F.regexp_replace(text, _POSTED, "@$1 $2 $3 $4$5$6$7 $8")
+    unusual = F.try_to_timestamp(F.initcap(bare), F.lit("'@'MMM d H:m:s XXXX yyyy"))
     return F.coalesce(usual, unusual)
 
 
@@ -39,17 +39,23 @@ def utc(moment: dt.datetime | dt.date | str) -> Column:
     return F.lit(str(moment)).cast("timestamp")
 
 
-def window_index(ts: Column, start: Column, days: int = WINDOW_DAYS) -> Column:
-    """Number of the ``days``-long window that holds ``ts``, counted from ``start``."""
-    return F.floor(F.datediff(ts, start) / F.lit(days)).cast("long")
+def window_index(ts: Column, start: Column, days: int = WINDOW_DAYS, end: Column | None = None) -> Column:
+    """Number of the ``days``-long window that holds ``ts``, counted from ``start``.
+
+    Windows are so many times 24 hours after ``start``; NULL before it and, if
+    given, from ``end`` on.
+    """
+    inside = ts >= start if end is None else (ts >= start) & (ts < end)
+    passed = F.unix_micros(ts) - F.unix_micros(start)
+    return F.when(inside, F.floor(passed / F.lit(days * 86_400_000_000)).cast("long"))
 
 
 def window_bounds(index: Column, start: Column, end: Column,
                   days: int = WINDOW_DAYS) -> tuple[Column, Column]:
-    """Start and end of a window; the last one is cut at ``end``."""
+    """Start and end of a window, NULL for none; the last one is cut at ``end``."""
     first = start + F.make_dt_interval((index * days).cast("int"))
     last = start + F.make_dt_interval(((index + 1) * days).cast("int"))
-    return first, F.least(last, end)
+    return first, F.when(last > end, end).otherwise(last)
 
 
 def collected_at() -> Column:

@@ -22,6 +22,9 @@ Scorer = Callable[[str], dict]
 
 CONCURRENCY = 8
 CHUNKS_PER_RUN = 1_000
+# Commits of one call, however many chunks there are; at most one is lost with a stopped job.
+MAX_RUNS = 32
+TRIES = 2
 # One prime per question, in rubric order.
 OFFLINE_FACTORS = (3, 7, 11, 13, 17, 19, 23, 29, 31, 37)
 
@@ -63,21 +66,19 @@ def annotate(df: DataFrame, scorer: Scorer, concurrency: int = CONCURRENCY,
     failures = (ScoringError,)
 
     def attempt(content: str | None) -> tuple:
-        begun = dt.datetime.now(dt.timezone.utc)
-        try:
-            answers = scorer(content) if content is not None else {}
-        except failures:
-            answers = {}
+        begun, answers = dt.datetime.now(dt.timezone.utc), {}
+        for _ in range(TRIES if content is not None else 0):
+            try:
+                answers = scorer(content)
+                break
+            except failures:
+                continue
         return answers, begun, dt.datetime.now(dt.timezone.utc)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with ThreadPoolExecutor(concurrency) as pool:
             for batch in batches:
-                texts = batch.column("text").to_pylist()
-                results = list(pool.map(attempt, texts))
-                failed = [i for i, r in enumerate(results) if not r[0]]
-                for i, again in zip(failed, pool.map(attempt, [texts[i] for i in failed])):
-                    results[i] = (again[0], results[i][1], again[2])
+                results = list(pool.map(attempt, batch.column("text").to_pylist()))
                 arrays = [pa.array([r[0].get(name) for r in results], kind)
                           for name, kind in answer_types]
                 if timed:
@@ -104,12 +105,16 @@ def annotate_chunks(chunked: DataFrame, out_dir: str, scorer: Scorer,
     """
     spark = chunked.sparkSession
     done = tables.read_chunks(spark, out_dir, schemas.ANNOTATED)
-    todo = pending(chunked.select("ord", "text", "chunk_id"), done)
-    first, last = todo.agg(F.min("chunk_id"), F.max("chunk_id")).first()
+    # One look at the stored chunks: their ids, not their rows, tell what is left.
+    status = tables.stored(pending(chunked.select("chunk_id").distinct(), done), "pending")
+    first, last = status.agg(F.min("chunk_id"), F.max("chunk_id")).first()
     if first is not None:
-        tasks = min(chunks_per_run, last - first + 1, 4 * spark.sparkContext.defaultParallelism)
-        for low in range(first, last + 1, chunks_per_run):
-            part = todo.filter(F.col("chunk_id").between(low, low + chunks_per_run - 1))
+        step = max(chunks_per_run, -(-(last - first + 1) // MAX_RUNS))
+        tasks = min(step, last - first + 1, 4 * spark.sparkContext.defaultParallelism)
+        for low in range(first, last + 1, step):
+            here = F.col("chunk_id").between(low, low + step - 1)
+            part = (chunked.select("ord", "text", "chunk_id").filter(here)
+                    .join(status.filter(here), "chunk_id", "left_semi"))
             # An explicit count: adaptive execution must not merge these tasks.
             spread = part.repartition(tasks, "chunk_id").sortWithinPartitions("chunk_id", "ord")
             tables.write_table(annotate(spread, scorer, concurrency),

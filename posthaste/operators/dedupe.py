@@ -38,16 +38,17 @@ def clean(df: DataFrame, order: str = "ord") -> DataFrame:
 
 def exclude_seen(new: DataFrame, existing: DataFrame, key: str = "tweet_id",
                  arrivals: DataFrame | None = None) -> DataFrame:
-    """Rows of ``new`` whose key is not stored yet.
+    """Rows of ``new`` whose key is not stored yet; NULL is one key, as in :func:`keep_first`.
 
     The stored keys that recur in ``new`` are looked up first. That result is
     no larger than ``new``, so Spark can broadcast the small batch to the big
     table instead of shuffling the big table's keys. ``arrivals`` may name a
     cheaper frame with the same keys.
     """
-    wanted = (new if arrivals is None else arrivals).select(key).distinct()
-    recurring = existing.select(key).join(wanted, key, "left_semi")
-    return new.join(recurring, key, "left_anti")
+    wanted = (new if arrivals is None else arrivals).select(F.col(key).alias("_wanted")).distinct()
+    recurring = (existing.select(F.col(key).alias("_seen"))
+                 .join(wanted, F.col("_seen").eqNullSafe(F.col("_wanted")), "left_semi"))
+    return new.join(recurring, F.col(key).eqNullSafe(F.col("_seen")), "left_anti")
 
 
 def stack(first: DataFrame, *others: DataFrame) -> DataFrame:

@@ -7,20 +7,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Columns that a plan still handles well; a caller may ask for more.
 MAX_CATEGORIES = 2_000
 
 
-def categories(df: DataFrame, column: str) -> list[str]:
-    """Sorted distinct values. Each becomes a column, so their number is checked."""
-    found = (df.select(F.col(column).cast("string").alias("c")).distinct().dropna()
-             .limit(MAX_CATEGORIES + 1).collect())
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"'{column}' has more than {MAX_CATEGORIES} categories")
+def categories(df: DataFrame, column: str, most: int = MAX_CATEGORIES) -> list[str]:
+    """Sorted distinct values. Each becomes a column, so more than ``most`` fail."""
+    found = df.select(F.col(column).cast("string").alias("c")).distinct().dropna().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"'{column}' has more than {most} categories")
     return sorted(r["c"] for r in found)
 
 
 def dummies(df: DataFrame, columns: Sequence[str],
-            domains: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+            domains: Mapping[str, Sequence[str]] | None = None, most: int = MAX_CATEGORIES) -> DataFrame:
     """Replace each column by 0/1 columns ``<column>_<category>``.
 
     The first category is the baseline and gets no column. A missing value is
@@ -28,7 +28,7 @@ def dummies(df: DataFrame, columns: Sequence[str],
     """
     added = []
     for column in columns:
-        domain = sorted(domains[column]) if domains and column in domains else categories(df, column)
+        domain = sorted(domains[column]) if domains and column in domains else categories(df, column, most)
         added += [F.coalesce((F.col(column) == F.lit(c)).cast("int"), F.lit(0)).alias(f"{column}_{c}")
                   for c in domain[1:]]
     return df.select(*[c for c in df.columns if c not in columns], *added)

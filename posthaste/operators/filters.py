@@ -42,7 +42,8 @@ def length_between(df: DataFrame, low: int = 50, high: int = 280, column: str =
 
 
 def window_ok(ts: Column, start, end) -> Column:
-    return F.coalesce((ts >= clock.utc(start)) & (ts < clock.utc(end)), F.lit(False))
+    """NULL for a missing time, so that the plain comparison reaches the scan."""
+    return (ts >= clock.utc(start)) & (ts < clock.utc(end))
 
 
 def in_window(df: DataFrame, start, end, column: str = "created_ts") -> DataFrame:
@@ -90,7 +91,7 @@ def _derived(df: DataFrame, *kept: str) -> DataFrame:
 def candidate_funnel(df: DataFrame, rules: CandidateRules = CandidateRules()) -> DataFrame:
     """Posts per first failing test, in the order length, date, engagement, or 'kept'."""
     reason = (F.when(~F.col("_text_len").between(rules.min_len, rules.max_len), "length")
-              .when(~window_ok(F.col("created_ts"), rules.start, rules.end), "date")
+              .when(~F.coalesce(window_ok(F.col("created_ts"), rules.start, rules.end), F.lit(False)), "date")
               .when(total_engagement() < rules.min_engagement, "engagement")
               .otherwise("kept"))
     return (_derived(df, "likes", "replies", "reposts")
@@ -135,7 +136,4 @@ def filter_scored(df: DataFrame, min_score: float, column: str = "inferred_rageb
 
 def take_until(df: DataFrame, target: int, existing: int = 0, order: str = "ord") -> DataFrame:
     """The first rows by ``order`` that bring a table of ``existing`` rows to ``target``."""
-    row_order = ranks.by_column(order)
-    wanted = max(0, target - existing)
-    [key] = ranks.keys_at(df, row_order, [wanted])
-    return df.filter(~row_order.at_or_after(key))
+    return ranks.cut_at(df, order, max(0, target - existing))[0]

@@ -1,117 +1,84 @@
-"""The search predicate: posts that contain a keyword."""
+"""The search predicate: posts that contain a keyword.
+
+One path whatever the number of keywords: they are dealt to blocks of about
+``BLOCK_KEYWORDS``, each block becomes an Aho-Corasick automaton inside the
+tasks, and one pass over a text finds all keywords of a block.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from importlib.util import find_spec
+import math
+from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from posthaste.operators.filters import CandidateRules, window_ok
+from posthaste.operators.filters import CandidateRules, in_window
+from posthaste.sources.tables import stored
 
-# Up to this many keywords are tested one after another inside the scan.
-MAX_INLINE = 16
-# Up to this many keywords are sent to every executor; more are joined.
-MAX_BROADCAST = 100_000
-GRAM = 5
+# An automaton of so many keywords takes some tens of MB.
+BLOCK_KEYWORDS = 100_000
+_FOUND = "struct<unnumbered: boolean, kw_id: bigint, keyword: string>"
 
 
 def keyword_candidates(posts: DataFrame, keywords: DataFrame,
                        rules: CandidateRules = CandidateRules(),
-                       lang: str = "en", max_inline: int = MAX_INLINE,
-                       max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+                       lang: str = "en", block_keywords: int = BLOCK_KEYWORDS) -> DataFrame:
     """Posts a search for the keywords would return.
 
     Plain tests come first: language, likes of at least a third of the wanted
     engagement, dates. ``query_source`` is the keyword with the lowest
-    ``kw_id`` that occurs in the text, case ignored. ``keywords`` has
-    (kw_id, keyword); ``posts`` a unique ``ord``.
-    """
-    coarse = posts.drop("query_source").filter(
-        (F.col("lang") == lang) & (F.col("likes") >= rules.min_engagement // 3)
-        & window_ok(F.col("created_ts"), rules.start, rules.end))
-    usable = (keywords.select("kw_id", "keyword", F.lower("keyword").alias("needle"))
-              .filter(F.length("needle") > 0))
-    most = max(max_inline, max_broadcast if find_spec("ahocorasick") else 0)
-    head = sorted(usable.limit(most + 1).collect(), key=lambda k: k["kw_id"])
-    if len(head) > most:
-        return _by_grams(coarse, usable)
-    needles = [(k["needle"], k["keyword"]) for k in head]
-    return _inline(coarse, needles) if len(head) <= max_inline else _by_automaton(coarse, needles)
-
-
-def _inline(posts: DataFrame, needles: list[tuple[str, str]]) -> DataFrame:
-    if not needles:
-        return posts.withColumn("query_source", F.lit(None).cast("string")).filter(F.lit(False))
-    hits = [F.when(F.contains("_low", F.lit(needle)), F.lit(keyword)) for needle, keyword in needles]
-    return _with_source(posts, F.coalesce(*hits))
-
-
-def _with_source(posts: DataFrame, found: Column) -> DataFrame:
-    """Posts with a keyword found in ``_low``, their text in lower case.
-
-    The column leaves a generator, so that the filter on it does not make
-    Spark search each text twice.
+    ``kw_id`` that occurs in the text, case ignored; equal ids go by the
+    keyword, a NULL id comes last. Empty and NULL keywords find nothing.
+    ``keywords`` has (kw_id, keyword); posts need no key.
     """
-    once = F.inline(F.array(F.struct(found.alias("query_source"))))
-    return (posts.withColumn("_low", F.lower("text")).select(*posts.columns, once)
-            .filter("query_source is not null"))
-
-
-def _by_automaton(posts: DataFrame, needles: list[tuple[str, str]]) -> DataFrame:
-    """Many keywords: one pass over a text finds all of them.
-
-    A chain of tests reads the text once per keyword, which Arrow batches and
-    an Aho-Corasick automaton beat from some dozens of keywords on.
-    """
-    @F.pandas_udf("string")
-    def first_keyword(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import ahocorasick
+    coarse = in_window(posts.drop("query_source"), rules.start, rules.end).filter(
+        (F.col("lang") == lang) & (F.col("likes") >= rules.min_engagement // 3))
+    needles = _needles(keywords)
+    blocks = max(1, math.ceil(needles.count() / block_keywords))
+    block = F.pmod(F.xxhash64("needle"), F.lit(blocks))
+    found = coarse.withColumn("_best", F.lit(None).cast(_FOUND))
+    for number in range(blocks):
+        # One block's keywords pass through the driver, and each pass but the last is stored.
+        search = _search(needles.filter(block == number).collect())
+        hit = F.when(F.col("_hit.keyword").isNotNull(), F.col("_hit"))
+        # Out of a generator, the search runs once per text.
+        once = F.inline(F.array(F.struct(F.least("_best", hit).alias("_best"))))
+        found = found.withColumn("_hit", search(F.lower("text"))).select(*coarse.columns, once)
+        if number + 1 < blocks:
+            found = stored(found, "searched")
+    return (found.filter("_best is not null").withColumn("query_source", F.col("_best.keyword"))
+            .drop("_best"))
+
+
+def _needles(keywords: DataFrame) -> DataFrame:
+    """Distinct keywords in lower case, each with the first of its ids and spellings."""
+    first = F.min(F.struct(F.col("kw_id").isNull().alias("unnumbered"), F.col("kw_id").cast("long").alias("kw_id"),
+                           "keyword")).alias("first")
+    return (keywords.withColumn("needle", F.lower("keyword")).filter(F.length("needle") > 0)
+            .groupBy("needle").agg(first).select("needle", "first.*"))
+
+
+def _search(needles: list[Row]) -> Callable:
+    """A function from a lower-case text to the first of the keywords it contains."""
+    values = [(k["needle"], (k["unnumbered"], k["kw_id"], k["keyword"])) for k in needles]
+    ranks = sorted(range(len(values)), key=lambda i: (values[i][1][0], values[i][1][1] or 0, values[i][1][2]))
+    words = [values[i][0] for i in ranks]
+    shown = [values[i][1] for i in ranks]
+
+    @F.pandas_udf(_FOUND)
+    def first_keyword(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         machine = ahocorasick.Automaton()
-        for rank, (needle, _) in enumerate(needles):
-            if needle not in machine:
-                machine.add_word(needle, rank)
-        machine.make_automaton()
+        for rank, word in enumerate(words):
+            machine.add_word(word, rank)
+        if words:
+            machine.make_automaton()
         for texts in batches:
-            ranks = (min((rank for _, rank in machine.iter(t)), default=None) if t else None for t in texts)
-            yield pd.Series([None if r is None else needles[r][1] for r in ranks], dtype=object)
-
-    return _with_source(posts, first_keyword("_low"))
-
-
-def _grams(low: Column, sizes: list[int]) -> Column:
-    """Distinct runs of each size of characters, overlaps included."""
-    runs = [F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)) for size in sizes]
-    return F.array_distinct(F.concat(*runs))
-
+            hits = [min((rank for _, rank in machine.iter(t)), default=None) if t and words else None for t in texts]
+            yield pd.DataFrame([(None,) * 3 if h is None else shown[h] for h in hits],
+                               columns=["unnumbered", "kw_id", "keyword"]).astype(
+                                   {"unnumbered": "boolean", "kw_id": "Int64", "keyword": "object"})
 
-def _anchored(keywords: DataFrame) -> DataFrame:
-    """(kw_id, needle, gram): of each distinct keyword the run of characters it
-    shares with the fewest others, so that no run stands for a third of them."""
-    distinct = keywords.groupBy("needle").agg(F.min("kw_id").alias("kw_id"))
-    runs = F.when(F.length("needle") < GRAM, F.array("needle")).otherwise(_grams(F.col("needle"), [GRAM]))
-    each = distinct.select("kw_id", "needle", F.explode(runs).alias("gram"))
-    shared = each.groupBy("gram").agg(F.count("*").alias("n"))
-    return (each.join(shared, "gram").groupBy("kw_id", "needle")
-            .agg(F.min(F.struct("n", "gram")).alias("least"))
-            .select("kw_id", "needle", "least.gram"))
-
-
-def _by_grams(posts: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Any number of keywords: an equi-join on a few characters of each.
-
-    A text that contains a keyword also contains every run of its characters,
-    so joining on one run loses no match; ``contains`` then decides. Texts are
-    not carried through the explode, only keys and runs of characters are.
-    """
-    anchored = _anchored(keywords)
-    lengths = keywords.select(F.least(F.length("needle"), F.lit(GRAM)).alias("n")).distinct().collect()
-    low = posts.select("ord", F.lower("text").alias("low"))
-    likely = (low.select("ord", F.explode(_grams(F.col("low"), sorted(r["n"] for r in lengths))).alias("gram"))
-              .join(anchored, "gram").drop("gram"))
-    hits = (likely.join(low, "ord").filter(F.contains("low", "needle"))
-            .groupBy("ord").agg(F.min("kw_id").alias("kw_id")))
-    named = hits.join(keywords.select("kw_id", F.col("keyword").alias("query_source")), "kw_id")
-    return posts.join(named.drop("kw_id"), "ord")
+    return first_keyword

@@ -22,6 +22,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from posthaste.sources.tables import staged
+
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 20_000
 SAMPLED_PER_RANGE = 200
@@ -48,8 +50,9 @@ class RowOrder:
 
 
 def by_column(name: str) -> RowOrder:
-    """Ascending order of a unique numeric column."""
-    return RowOrder((F.col(name),), F.col(name).cast("double"))
+    """Ascending order of a numeric column, NULLs last."""
+    last = F.lit(float("inf"))
+    return RowOrder((F.col(name),), F.coalesce(F.col(name).cast("double"), last))
 
 
 def seeded_digest(seed: int, key: str) -> Column:
@@ -81,7 +84,7 @@ def range_bounds(df: DataFrame, positions: Sequence[Column], rows: int, ranges:
     drawn = df if share == 1.0 else df.sample(fraction=share, seed=0)
     probabilities = [i / ranges for i in range(1, ranges)]
     found = drawn.agg(*[F.percentile_approx(p, probabilities, max(10_000, 10 * ranges)) for p in positions]).first()
-    return [sorted(set(cuts or [])) for cuts in found]
+    return [sorted(set(cuts or []) - {float("inf")}) for cuts in found]
 
 
 def _order_bounds(keys: DataFrame, order: RowOrder, rows: int, ranges: int) -> list[float]:
@@ -121,14 +124,67 @@ def with_ordinal(df: DataFrame, order: RowOrder, name: str = "ordinal",
         total += size
     # One row per range, so at most MAX_RANGES rows are broadcast.
     starts = spark.createDataFrame(offsets, "_range int, _start long")
-    inside = Window.partitionBy("_range").orderBy(*order.columns)
+    # Ties are broken by the row as a whole, so that a rerun numbers it alike.
+    inside = Window.partitionBy("_range").orderBy(*[c.asc_nulls_last() for c in order.columns], F.xxhash64(*df.columns))
     return (with_range(placed, "_at", bounds, "_range")
             .join(F.broadcast(starts), "_range")
             .withColumn(name, F.col("_start") + F.row_number().over(inside) - F.lit(1))
             .drop("_at", "_range", "_start"))
 
 
-def keys_at(df: DataFrame, order: RowOrder, ranks: Sequence[int]) -> list[Row | None]:
+def with_position(df: DataFrame, order: Sequence[str], name: str) -> tuple[DataFrame, str]:
+    """Add the 0-based position by columns of any type, NULLs last, and the
+    path of the table in which the rows were laid down by ranges.
+
+    A row's range is written with it, so rereading cannot change it.
+    """
+    columns = [F.col(c).asc_nulls_last() for c in order]
+    placed, path = staged(df.repartitionByRange(*columns).withColumn("_range", F.spark_partition_id()), "ranges")
+    offsets, total = [], 0
+    for row in sorted(placed.groupBy("_range").count().collect()):
+        offsets.append((row["_range"], total))
+        total += row["count"]
+    # One row per shuffle partition.
+    starts = df.sparkSession.createDataFrame(offsets, "_range int, _start long")
+    inside = Window.partitionBy("_range").orderBy(*columns, F.xxhash64(*df.columns))
+    return (placed.join(F.broadcast(starts), "_range")
+            .withColumn(name, F.col("_start") + F.row_number().over(inside) - F.lit(1))
+            .drop("_range", "_start")), path
+
+
+def cut_at(df: DataFrame, name: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``n`` rows by a numeric column, NULLs last, and the rest.
+
+    Both parts are filters of ``df``. Rows that tie at the cut are divided by a
+    hash of the whole row; rows equal in every column cannot be told apart, so
+    a cut that falls between such rows fails.
+    """
+    column = F.col(name)
+    rows, known = df.agg(F.count("*"), F.count(column)).first()
+    if n <= 0 or n >= rows:
+        return df.filter(F.lit(n > 0)), df.filter(F.lit(n <= 0))
+    if n >= known:
+        before, equal, wanted = column.isNotNull(), column.isNull(), n - known
+        ties = rows - known
+    else:
+        [key] = keys_at(df.filter(column.isNotNull()), by_column(name), [n], known)
+        before, equal = column < F.lit(key[0]), column == F.lit(key[0])
+        smaller, ties = df.agg(F.count_if(before), F.count_if(equal)).first()
+        wanted = n - smaller
+    # Written so that NULL, which no comparison holds for, belongs to the rest.
+    if wanted in (0, ties):
+        head = before if wanted == 0 else before | equal
+        return df.filter(head), df.filter(~F.coalesce(head, F.lit(False)))
+    hashed = F.xxhash64(*[F.col(c) for c in df.columns])
+    tied = df.filter(equal).select(hashed.alias("_hash"))
+    [key] = keys_at(tied, RowOrder((F.col("_hash"),), F.col("_hash").cast("double")), [wanted], ties)
+    if tied.filter(F.col("_hash") < F.lit(key[0])).count() != wanted:
+        raise ValueError(f"the cut at {n} falls between rows that are equal in all columns")
+    head = before | (equal & (hashed < F.lit(key[0])))
+    return df.filter(head), df.filter(~F.coalesce(head, F.lit(False)))
+
+
+def keys_at(df: DataFrame, order: RowOrder, ranks: Sequence[int], rows: int | None = None) -> list[Row | None]:
     """The order key found at each 0-based rank; None past the end.
 
     Counting rows per range finds the range that holds a rank, and only the
@@ -138,7 +194,7 @@ def keys_at(df: DataFrame, order: RowOrder, ranks: Sequence[int]) -> list[Row |
     names = [f"_k{i}" for i in range(len(order.columns))]
     keys = df.select(*[c.alias(n) for c, n in zip(order.columns, names)],
                      order.position.alias("_at"))
-    total = keys.count()
+    total = keys.count() if rows is None else rows
     found = _find(keys, names, order, total, sorted({r for r in ranks if 0 <= r < total}))
     return [found.get(r) for r in ranks]
 
@@ -155,7 +211,10 @@ def _find(keys: DataFrame, names: list[str], order: RowOrder | None, rows: int,
                   else range_bounds(keys, [F.col("_at")], rows, ranges)[0])
         sizes = _range_sizes(keys, bounds)
         if max(sizes) == rows:
-            raise ValueError("the order key is not unique: too many rows share one position")
+            low, high = keys.agg(F.min(F.struct(*names)), F.max(F.struct(*names))).first()
+            if low != high:
+                raise ValueError("too many order keys share one position")
+            return {rank: Row(*[low[n] for n in names]) for rank in ranks}
     starts = [0, *itertools.accumulate(sizes)]
     held: dict[int, list[int]] = {}
     for rank in ranks:

@@ -20,21 +20,22 @@ FOLDS = 3
 SEED = 42
 
 
-def _cut(df: DataFrame, order: ranks.RowOrder, n: int) -> tuple[DataFrame, DataFrame]:
-    [key] = ranks.keys_at(df, order, [n])
+def _cut(df: DataFrame, order: ranks.RowOrder, n: int, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    [key] = ranks.keys_at(df, order, [n], rows)
     late = order.at_or_after(key)
     return df.filter(~late), df.filter(late)
 
 
 def split_at(df: DataFrame, n: int = BATCH_ROWS, order: str = "ord") -> tuple[DataFrame, DataFrame]:
-    """The first ``n`` rows and the rest."""
-    return _cut(df, ranks.by_column(order), n)
+    """The first ``n`` rows and the rest; NULL order keys come last."""
+    return ranks.cut_at(df, order, n)
 
 
 def holdout(df: DataFrame, test_size: float = TEST_SHARE, seed: int = SEED,
             key: str = "ord") -> tuple[DataFrame, DataFrame]:
     """(train, test) by seeded order; the test part has ceil(n * test_size) rows."""
-    test, train = _cut(df, ranks.seeded(seed, key), math.ceil(df.count() * test_size))
+    rows = df.count()
+    test, train = _cut(df, ranks.seeded(seed, key), math.ceil(rows * test_size), rows)
     return train, test
 
 
@@ -46,12 +47,13 @@ def sample_n(df: DataFrame, n: int, seed: int = SEED, key: str = "ord") -> DataF
 def kfold(df: DataFrame, k: int = FOLDS, seed: int = SEED, key: str = "ord") -> DataFrame:
     """Add ``fold`` in 0..k-1; the first n mod k folds get one row more."""
     order = ranks.seeded(seed, key)
-    base, extra = divmod(df.count(), k)
+    rows = df.count()
+    base, extra = divmod(rows, k)
     if not base:
         raise ValueError(f"cannot make {k} folds of {extra} rows")
     starts = [i * base + min(i, extra) for i in range(1, k)]
     fold = F.lit(0)
-    for cut in ranks.keys_at(df, order, starts):
+    for cut in ranks.keys_at(df, order, starts, rows):
         fold = fold + order.at_or_after(cut).cast("int")
     return df.withColumn("fold", fold)
 

@@ -362,14 +362,18 @@ def _durbin_watson(residuals: DataFrame, order: str, rss: float, n: int, rows_pe
 # --- agreement -----------------------------------------------------------
 
 def agreement(df: DataFrame, raters: Sequence[str], item: str = "item",
-              rater: str = "rater", label: str = "label") -> DataFrame:
+              rater: str = "rater", label: str = "label", order: str | None = None) -> DataFrame:
     """Per pair of the named raters: items both labelled, share of equal labels
     and Cohen's kappa.
 
+    A rater's label of an item is the first by ``order``; without an order, the
+    smallest of several.
+
     Items become rows with one column per rater, so each item meets each pair
     once; the rest works on label counts.
     """
-    wide = df.groupBy(item).pivot(rater, list(raters)).agg(F.first(label, ignorenulls=True))
+    wide = df.groupBy(item).pivot(rater, list(raters)).agg(
+        F.min(label) if order is None else F.min_by(label, F.when(F.col(label).isNotNull(), F.col(order))))
     pairs = F.array(*[F.struct(F.lit(a).alias("rater_a"), F.lit(b).alias("rater_b"),
                                F.col(f"`{a}`").alias("la"), F.col(f"`{b}`").alias("lb"))
                       for a, b in itertools.combinations(raters, 2)])

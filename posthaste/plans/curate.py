@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from posthaste import schemas
 from posthaste.functions import clock
-from posthaste.operators import dedupe, filters, splits
+from posthaste.operators import dedupe, filters, ranks, splits
 from posthaste.sources import tables
 
 
@@ -24,17 +25,26 @@ def collect(arrivals: DataFrame, existing: DataFrame, order: str | Sequence[str]
 
 
 def collect_into(table_dir: str, arrivals: DataFrame, order: str | Sequence[str],
-                 rules: filters.CandidateRules = filters.CandidateRules()) -> DataFrame:
+                 rules: filters.CandidateRules = filters.CandidateRules(),
+                 target: int | None = None) -> DataFrame:
     """Append the new candidates to a stored table and return the table.
 
     They are staged first: the look-up in the stored table runs once, and an
-    empty result leaves the table alone.
+    empty result leaves the table alone. ``ord`` numbers all stored rows in the
+    order of collection: runs after each other, and rows of a run by ``order``.
+    With a ``target`` the table stops growing at so many rows.
     """
     spark = arrivals.sparkSession
     existing = tables.read_or_empty(spark, table_dir, schemas.CANDIDATES)
+    begin = existing.agg(F.coalesce(F.max("ord") + 1, F.lit(0))).first()[0]
+    columns = [order] if isinstance(order, str) else list(order)
     found = collect(arrivals, existing, order, rules).withColumn("collected_at", clock.collected_at())
-    staged = tables.stored(found.select(*schemas.CANDIDATES.fieldNames()), "accepted")
-    tables.append_new(staged, table_dir)
+    placed, scratch = ranks.with_position(found, columns, "_position")
+    numbered = placed.withColumn("ord", F.col("_position") + F.lit(begin))
+    if target is not None:
+        numbered = numbered.filter(F.col("ord") < target)
+    tables.append_new(numbered.select(*schemas.CANDIDATES.fieldNames()), table_dir)
+    tables.remove(spark, scratch)
     return tables.read_or_empty(spark, table_dir, schemas.CANDIDATES)
 
 

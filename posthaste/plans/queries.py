@@ -12,7 +12,7 @@ from posthaste.functions import clock, numeric, text
 from posthaste.operators import (annotate, dedupe, encoding, filters, keywords, model, ranks, reports,
                                  rubric, splits, stats, training)
 from posthaste.operators.rubric import CHOICES, NOUL, NUMERIC, QUESTIONS
-from posthaste.plans import curate, train
+from posthaste.plans import annotation, curate, train
 from posthaste.session import work_dir
 from posthaste.sources import history, samples, tables
 from posthaste.streaming import posts as streams
@@ -56,6 +56,10 @@ POSTS = """posts AS (
          CAST(json_extract(e.props, '$.k') AS BIGINT) AS replies, e.user_id % 50 AS reposts
   FROM documents d JOIN events e ON e.event_id = d.doc_id)"""
 
+# A post for every event; the documents take turns as texts.
+EVENT_POSTS = POSTS.replace("ON e.event_id = d.doc_id", "ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)").replace(
+    "CAST(d.doc_id AS VARCHAR) AS tweet_id, d.doc_id AS ord", "CAST(e.event_id AS VARCHAR) AS tweet_id, e.event_id AS ord")
+
 ARRIVALS = POSTS + """, arrivals AS (
   SELECT *, 1 AS arrival FROM posts
   UNION ALL
@@ -178,14 +182,14 @@ def length_filter(spark, sf):
     return filters.length_between(samples.posts(spark, sf)).select("ord")
 
 
-@query(f"WITH {POSTS} SELECT ord FROM posts WHERE created_ts >= TIMESTAMP '{START}' AND created_ts < TIMESTAMP '{END}'")
+@query(f"WITH {EVENT_POSTS} SELECT ord FROM posts WHERE created_ts >= TIMESTAMP '{START}' AND created_ts < TIMESTAMP '{END}'")
 def window_filter(spark, sf):
-    return filters.in_window(samples.posts(spark, sf), START, END).select("ord")
+    return filters.in_window(samples.event_posts(spark, sf), START, END).select("ord")
 
 
-@query(f"WITH {POSTS} SELECT ord, likes, replies, reposts FROM posts WHERE likes + replies + reposts >= 50")
+@query(f"WITH {EVENT_POSTS} SELECT ord, likes, replies, reposts FROM posts WHERE likes + replies + reposts >= 50")
 def engagement_filter(spark, sf):
-    return filters.min_engagement(samples.posts(spark, sf)).select("ord", "likes", "replies", "reposts")
+    return filters.min_engagement(samples.event_posts(spark, sf)).select("ord", "likes", "replies", "reposts")
 
 
 @query(f"""WITH {POSTS} SELECT tweet_id, {_strip('text')} AS text, created_at, {_SECOND} AS created_ts,
@@ -259,23 +263,30 @@ def keyword_search(spark, sf):
     return found.select("ord", "query_source")
 
 
-# Two-word phrases of the benchmark texts: as many keywords as the table has rows.
-@query(f"""WITH {POSTS}, kw AS (SELECT item_id AS kw_id,
-    array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ') AS keyword FROM benchmark),
-  {_search_sql('kw')} SELECT ord, query_source FROM first_hit""")
+# Every word of the benchmark texts is a keyword, its ids repeat, and posts have repeated and NULL keys.
+@query(f"""WITH {POSTS}, kw AS (SELECT item_id AS kw_id, unnest(string_split(text, ' ')) AS keyword FROM benchmark),
+  one AS (SELECT lower(keyword) AS needle, min(struct_pack(kw_id := kw_id, keyword := keyword)) AS k
+    FROM kw WHERE keyword <> '' GROUP BY 1),
+  searched AS (SELECT *, CASE WHEN ord % 3 > 0 THEN ord // 4 END AS key FROM posts WHERE lang = 'en' AND likes >= 16
+    AND created_ts >= TIMESTAMP '{START}' AND created_ts < TIMESTAMP '{END}'),
+  best AS (SELECT tweet_id, key, min(k) AS k FROM searched JOIN one ON contains(lower(text), needle) GROUP BY ALL)
+  SELECT tweet_id, key AS ord, k.keyword AS query_source FROM best""")
 def keyword_search_many(spark, sf):
-    phrases = samples.table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("kw_id"), F.substring_index("text", " ", 2).alias("keyword"))
-    found = keywords.keyword_candidates(samples.posts(spark, sf), phrases, RULES, max_inline=0)
-    return found.select("ord", "query_source")
+    return _search_benchmark(spark, sf, keywords.BLOCK_KEYWORDS)
 
 
+# The same with so small blocks that there are several.
 @query(SQL["keyword_search_many"])
 def keyword_search_joined(spark, sf):
-    phrases = samples.table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("kw_id"), F.substring_index("text", " ", 2).alias("keyword"))
-    found = keywords.keyword_candidates(samples.posts(spark, sf), phrases, RULES, max_inline=0, max_broadcast=0)
-    return found.select("ord", "query_source")
+    return _search_benchmark(spark, sf, 500)
+
+
+def _search_benchmark(spark, sf, block: int) -> DataFrame:
+    words = samples.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("kw_id"), F.explode(F.split("text", " ")).alias("keyword"))
+    posts = samples.posts(spark, sf).withColumn("ord", F.when(F.col("ord") % 3 > 0, F.floor(F.col("ord") / 4)))
+    found = keywords.keyword_candidates(posts, words, RULES, block_keywords=block)
+    return found.select("tweet_id", "ord", "query_source")
 
 
 @query(f"WITH {PREDICTIONS} SELECT ord, round(p, 6) AS p FROM predictions WHERE p >= 0.5")
@@ -339,6 +350,38 @@ def collect_new(spark, sf):
     return found.select("tweet_id", "text", "engagement_total")
 
 
+# Ids of every seventh post are missing, which counts as one id; the second run adds nothing.
+@query(f"""WITH {ARRIVALS}, named AS (SELECT * REPLACE (CASE WHEN ord % 7 > 0 THEN tweet_id END AS tweet_id) FROM arrivals),
+  firsts AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY tweet_id ORDER BY arrival, ord) = 1),
+  kept AS (SELECT *, row_number() OVER (ORDER BY arrival, ord) - 1 AS position FROM firsts WHERE {_PASSES})
+  SELECT tweet_id, likes, position AS ord, {_SECOND} AS created_ts FROM kept""")
+def collect_twice(spark, sf):
+    place = work_dir(spark, "collected")
+    for _ in range(2):
+        kept = curate.collect_into(place, _unnamed(spark, sf), ["arrival", "ord"], RULES)
+    return _shown(kept.select("tweet_id", "likes", "ord", "created_ts"), "created_ts")
+
+
+def _unnamed(spark, sf) -> DataFrame:
+    return samples.arrivals(spark, sf).withColumn("tweet_id", F.when(F.col("ord") % 7 > 0, F.col("tweet_id")))
+
+
+# From arrivals to the two batches without a key made by hand; collecting stops at a target.
+@query(f"""WITH {ARRIVALS}, first AS (SELECT * FROM posts WHERE ord % 2 = 0 AND {_PASSES}),
+  second AS (SELECT * FROM posts WHERE ord % 2 = 1 AND {_PASSES}),
+  placed AS (SELECT text, row_number() OVER (ORDER BY ord) - 1 AS position FROM first
+    UNION ALL SELECT text, (SELECT count(*) FROM first) + row_number() OVER (ORDER BY ord) - 1 FROM second),
+  cleaned AS (SELECT {_strip('text')} AS text, min(position) AS ord FROM placed WHERE position < 300 GROUP BY 1)
+  SELECT ord, text, CASE WHEN row_number() OVER (ORDER BY ord) <= 20 THEN 1 ELSE 2 END AS batch FROM cleaned""")
+def collected_split(spark, sf):
+    place, cleaned = work_dir(spark, "collected"), work_dir(spark, "cleaned")
+    for part in (0, 1):
+        new = samples.posts(spark, sf).filter(F.col("ord") % 2 == part)
+        kept = curate.collect_into(place, new, "ord", RULES, target=300)
+    head, rest = curate.clean_and_split(kept, cleaned, 20)
+    return head.withColumn("batch", F.lit(1)).unionByName(rest.withColumn("batch", F.lit(2)))
+
+
 @query(f"""WITH {POSTS}, {ANNOTATED} SELECT p.ord, p.likes, a.ragebait, a.content_type
   FROM posts p LEFT JOIN (SELECT * FROM annotated WHERE content_type <> 'other') a ON a.ord = p.ord""")
 def attach_results(spark, sf):
@@ -358,11 +401,15 @@ def patch_failed(spark, sf):
 
 # --- splits, samples, chunks ----------------------------------------------
 
-@query(f"WITH {POSTS} SELECT ord, CASE WHEN row_number() OVER (ORDER BY ord) <= 150 THEN 1 ELSE 2 END AS batch FROM posts")
+# Keys repeat sevenfold and every ninth is NULL; which of the tied posts go first is not compared.
+@query(f"""WITH {POSTS}, k AS (SELECT CASE WHEN ord % 9 > 0 THEN ord // 7 END AS key FROM posts),
+  r AS (SELECT key, CASE WHEN row_number() OVER (ORDER BY key NULLS LAST) <= 150 THEN 1 ELSE 2 END AS batch FROM k)
+  SELECT key, batch, count(*) AS posts FROM r GROUP BY key, batch""")
 def split_batches(spark, sf):
-    head, rest = splits.split_at(samples.posts(spark, sf), 150)
-    return (head.select("ord", F.lit(1).alias("batch"))
-            .unionByName(rest.select("ord", F.lit(2).alias("batch"))))
+    keyed = samples.posts(spark, sf).withColumn("key", F.when(F.col("ord") % 9 > 0, F.floor(F.col("ord") / 7)))
+    head, rest = splits.split_at(keyed, 150, "key")
+    return (head.withColumn("batch", F.lit(1)).unionByName(rest.withColumn("batch", F.lit(2)))
+            .groupBy("key", "batch").agg(F.count("*").alias("posts")))
 
 
 def _seeded_rank(key: str = "ord") -> str:
@@ -440,7 +487,7 @@ def parse_created(spark, sf):
 
 @query("""SELECT doc_id AS ord, CASE doc_id % 10 WHEN 0 THEN n_chars / 1e1 WHEN 1 THEN n_chars / 1e1
     WHEN 2 THEN n_chars * 1e0 WHEN 3 THEN CAST('inf' AS DOUBLE)
-    WHEN 8 THEN TRY_CAST(trim(substring(text, 1, 5)) AS DOUBLE) END AS number FROM documents""")
+    WHEN 8 THEN n_chars / 1e2 END AS number FROM documents""")
 def coerce_number(spark, sf):
     n, turn = F.col("n_chars"), F.col("doc_id") % 10
     tenth = (n / F.lit(10.0)).cast("string")
@@ -448,23 +495,23 @@ def coerce_number(spark, sf):
                .when(turn == 2, F.concat(n.cast("string"), F.lit("e0"))).when(turn == 3, "inf")
                .when(turn == 4, "nan").when(turn == 5, F.concat(n.cast("string"), F.lit("d")))
                .when(turn == 6, F.concat(F.lit("0x"), n.cast("string"))).when(turn == 7, "")
-               .when(turn == 8, F.substring("text", 1, 5)))
+               .when(turn == 8, F.concat(n.cast("string"), F.lit("E-2"))).when(turn == 9, F.col("text")))
     return samples.table(spark, sf, "documents").select(
         F.col("doc_id").alias("ord"), text.to_number(written).alias("number"))
 
 
-@query(f"""WITH {POSTS}, w AS (SELECT ord, CAST(floor(date_diff('day', DATE '2023-12-31', CAST(created_ts AS DATE)) / 2) AS BIGINT) AS i FROM posts)
-  SELECT ord, i AS window_index, strftime(TIMESTAMP '2023-12-31' + i * INTERVAL 2 DAY, '%Y-%m-%d') AS window_start,
-    strftime(least(TIMESTAMP '2023-12-31' + (i + 1) * INTERVAL 2 DAY, TIMESTAMP '2024-01-03'), '%Y-%m-%d') AS window_end
-  FROM w WHERE i <= 1""")
+# A window holds the posts from its start on and before its end; posts outside all windows have none.
+@query(f"""WITH {EVENT_POSTS}, w AS (SELECT i, TIMESTAMP '2024-01-01 06:00:00' + i * INTERVAL 2 DAY AS s,
+    least(TIMESTAMP '2024-01-01 06:00:00' + (i + 1) * INTERVAL 2 DAY, TIMESTAMP '2024-01-06') AS e FROM range(3) r(i))
+  SELECT ord, i AS window_index, strftime(s, '%Y-%m-%d %H:%M') AS window_start, strftime(e, '%Y-%m-%d %H:%M') AS window_end
+  FROM posts LEFT JOIN w ON created_ts >= s AND created_ts < e""")
 def search_windows(spark, sf):
-    start, end = clock.utc("2023-12-31"), clock.utc("2024-01-03")
+    start, end = clock.utc("2024-01-01 06:00:00"), clock.utc("2024-01-06")
     first, last = clock.window_bounds(F.col("window_index"), start, end, 2)
-    return (samples.posts(spark, sf)
-            .select("ord", clock.window_index(F.col("created_ts"), start, 2).alias("window_index"))
-            .filter("window_index <= 1")
-            .withColumns({"window_start": F.date_format(first, "yyyy-MM-dd"),
-                          "window_end": F.date_format(last, "yyyy-MM-dd")}))
+    return (samples.event_posts(spark, sf)
+            .select("ord", clock.window_index(F.col("created_ts"), start, 2, end).alias("window_index"))
+            .withColumns({"window_start": F.date_format(first, "yyyy-MM-dd HH:mm"),
+                          "window_end": F.date_format(last, "yyyy-MM-dd HH:mm")}))
 
 
 _HEAD = [round(((i * 37) % 19 - 9) / 10, 1) for i in range(64)]
@@ -547,10 +594,10 @@ def cost_report(spark, sf):
     return _rounded(reports.cost_report(samples.annotated(spark, sf)), 9)
 
 
-@query(f"""WITH {POSTS} SELECT query_source, date_diff('day', DATE '2024-01-01', CAST(created_ts AS DATE)) AS "window", count(*) AS posts
+@query(f"""WITH {EVENT_POSTS} SELECT query_source, date_diff('day', DATE '2024-01-01', CAST(created_ts AS DATE)) AS "window", count(*) AS posts
   FROM posts WHERE {_PASSES} GROUP BY ALL""")
 def window_yield(spark, sf):
-    return reports.yield_report(filters.candidates(samples.posts(spark, sf), RULES), "2024-01-01", 1)
+    return reports.yield_report(filters.candidates(samples.event_posts(spark, sf), RULES), "2024-01-01", 1)
 
 
 @query(f"""WITH {POSTS}, {_KW_VALUES}, {_search_sql('kw')}
@@ -693,11 +740,22 @@ def ols_summary(spark, sf):
     return _rounded(summary.filter(F.col("measure").isin(kept)), 4)
 
 
-@query()
+_PREDICTORS = ["const", "input_tokens", *[c for c in NUMERIC if c != "ragebait"],
+               *[f"{q}_{c}" for q in CHOICES for c in sorted(QUESTIONS[q]["criteria"])[1:]]]
+
+
+# The normal equations: the residuals are orthogonal to every predictor that is in the fit.
+@query("SELECT variable, true AS orthogonal FROM (VALUES " + ", ".join(f"('{v}')" for v in _PREDICTORS) + ") v(variable)")
 def ols_answers(spark, sf):
     encoded = encoding.dummies(samples.annotated(spark, sf).drop("text", "output_tokens"), CHOICES)
     predictors = [c for c in encoded.columns if c not in ("ord", "ragebait")]
-    return stats.ols(encoded, "ragebait", predictors, order="ord")[0]
+    coefficients = {r["variable"]: r["coef"] for r in stats.ols(encoded, "ragebait", predictors, order="ord")[0].collect()}
+    rows = encoding.add_const(stats.complete_cases(encoded, ["ragebait", *predictors]))
+    error = F.col("ragebait") - sum((F.col(v) * F.lit(c) for v, c in coefficients.items()), F.lit(0.0))
+    # A sum of products is zero beside the sum of what it adds up.
+    sums = [F.struct(F.lit(v).alias("variable"), (F.abs(F.sum(F.col(v) * F.col("_e"))) <= 1e-8 * (
+        F.sum(F.abs(F.col(v) * F.col("_e"))) + 1e-6)).alias("orthogonal")) for v in coefficients]
+    return rows.withColumn("_e", error).agg(F.array(*sums).alias("sums")).select(F.inline("sums"))
 
 
 @query(f"WITH {ANNOTATED} SELECT ord, ragebait, nicheness FROM annotated WHERE ragebait IS NOT NULL AND nicheness IS NOT NULL")
@@ -794,6 +852,17 @@ def annotate_resumed(spark, sf):
     return done.select("ord", "ragebait", "rhetorical_target", "chunk_id")
 
 
+# The whole job, stopped after some chunks and run again: its report.
+@query(f"""WITH {_SCORED_TEXT} SELECT count(*) AS n_rows, count(*) - count(ragebait) AS n_missing,
+  CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
+  round(sum(input_tokens) / 1e9 * 42, 9) AS cost, CAST(ceil(count(*) / {CHUNK}) AS BIGINT) AS chunks FROM annotated""")
+def annotation_run(spark, sf):
+    place = work_dir(spark, "annotation")
+    rows = filters.select_text(samples.posts(spark, sf))
+    annotation.run(rows, place, annotate.offline_scorer, CHUNK, only=F.col("chunk_id") < 2)
+    return _rounded(annotation.run(rows, place, annotate.offline_scorer, CHUNK)["report"], 9)
+
+
 @query(f"""WITH {CHUNKED} SELECT ord, chunk_id FROM chunked WHERE chunk_id NOT IN (SELECT chunk_id FROM chunked WHERE ord % 400 = 0)""")
 def pending_chunks(spark, sf):
     chunked = _chunked(spark, sf)
@@ -810,32 +879,62 @@ def _prepared(spark, sf):
     return tables.stored(training.prepare_training(samples.training(spark, sf)), "training")
 
 
-@query()
+_UNIQUE_TRAINING = f"""{TRAINING}, prepared AS (SELECT min(ord) AS ord, arg_min(score, ord) AS score
+  FROM training GROUP BY {_strip('text')})"""
+
+
+# Every post has a score inside [0, 1], and a model that was saved gives it again.
+@query(f"WITH {POSTS} SELECT ord, true AS in_range, true AS same_after_reload FROM posts")
 def fit_and_score(spark, sf):
-    fitted = model.fit_regressor(_prepared(spark, sf), {"max_iter": 10})
+    fitted = model.fit_regressor(_prepared(spark, sf))
     place = work_dir(spark, "model")
     history.save_model(fitted, place)
-    return model.score_posts(filters.select_text(samples.posts(spark, sf)), history.load_model(place))
+    first = model.score_posts(filters.select_text(samples.posts(spark, sf)), fitted)
+    again = model.score_posts(first.withColumnRenamed(model.PREDICTION, "first"), history.load_model(place))
+    return again.select("ord", F.col(model.PREDICTION).between(0, 1).alias("in_range"),
+                        (F.abs(F.col(model.PREDICTION) - F.col("first")) < 1e-12).alias("same_after_reload"))
 
 
-@query()
+# Metrics of every fold; a fitted model must beat the mean of the scores it learned from.
+@query(f"""WITH {_UNIQUE_TRAINING}, f AS (SELECT ntile(3) OVER (ORDER BY md5('42:' || ord), ord) - 1 AS fold FROM prepared)
+  SELECT fold, count(*) AS n_rows, true AS beats_mean FROM f GROUP BY fold""")
 def cross_validation(spark, sf):
-    return model.cross_validate(splits.kfold(_prepared(spark, sf)), {"max_iter": 5})
-
-
-@query()
+    folded = splits.kfold(_prepared(spark, sf))
+    # Enough pull towards the mean for the few rows of the small test tables.
+    found = model.cross_validate(folded, {"reg_param": 0.1})
+    sums = folded.groupBy("fold").agg(F.count("*").alias("n_rows"), F.sum("score").alias("total"))
+    everything = folded.agg(F.count("*").alias("all_rows"), F.sum("score").alias("all_total")).first()
+    others = (F.lit(everything["all_total"]) - F.col("total")) / (F.lit(everything["all_rows"]) - F.col("n_rows"))
+    guess = (folded.join(sums, "fold").groupBy("fold", "n_rows")
+             .agg(F.avg(F.abs(F.col("score") - others)).alias("plain")))
+    return found.join(guess, "fold").select(
+        F.col("fold").cast("long").alias("fold"), "n_rows", (F.col("mae") < F.col("plain")).alias("beats_mean"))
+
+
+# Every trial of the default space meets every fold with the parameters that the seed draws.
+@query("""SELECT CAST(t AS INTEGER) AS trial, CAST(f AS INTEGER) AS fold, true AS as_drawn, true AS in_range
+  FROM range(12) a(t), range(3) b(f)""")
 def param_search(spark, sf):
-    space = {"reg_param": (1e-4, 1e-1, "log"), "num_features": [256, 1024], "max_iter": [3, 5]}
-    return model.search(splits.kfold(_prepared(spark, sf)), space, n_trials=3)
-
-
-@query()
+    drawn = model.sample_params(model.SEARCH_SPACE, model.N_TRIALS, splits.SEED)
+    expected = spark.createDataFrame([(t, {k: float(v) for k, v in p.items()}) for t, p in enumerate(drawn)],
+                                     "trial int, expected map<string,double>")
+    found = model.search(splits.kfold(_prepared(spark, sf)))
+    entries = [F.array_sort(F.map_entries(c)) for c in ("params", "expected")]
+    return found.join(expected, "trial").select(
+        "trial", "fold", (entries[0] == entries[1]).alias("as_drawn"), F.col("mae").between(0, 1).alias("in_range"))
+
+
+# The counts of the run, and that the mean of the hold-out part is no better guess than its model.
+@query(f"""WITH {_UNIQUE_TRAINING}, n AS (SELECT count(*) AS n, CAST(ceil(count(*) * 5e-2) AS BIGINT) AS t FROM prepared)
+  SELECT n - t AS n_train_val, t AS n_test, least(500, n - t) AS n_hpo_rows, CAST(42 AS BIGINT) AS seed,
+         (SELECT count(*) FROM documents) AS scored, true AS in_range FROM n""")
 def train_model(spark, sf):
-    place = work_dir(spark, "trained")
-    space = {"reg_param": (1e-4, 1e-1, "log"), "max_iter": [3, 5]}
-    train.train(samples.training(spark, sf), place, space, n_trials=2, hpo_subsample_size=500)
-    scored = work_dir(spark, "inferred")
-    return train.infer(samples.posts(spark, sf), f"{place}/model", scored, min_score=0.05)
+    place, scored = work_dir(spark, "trained"), work_dir(spark, "inferred")
+    train.train(samples.training(spark, sf), place, n_trials=4, hpo_subsample_size=500)
+    kept = train.infer(samples.posts(spark, sf), f"{place}/model", scored, min_score=0.0)
+    counts = kept.agg(F.count("*").alias("scored"), F.bool_and(F.col(model.PREDICTION).between(0, 1)).alias("in_range"))
+    runs = history.load_metadata(spark, f"{place}/runs").select("n_train_val", "n_test", "n_hpo_rows", "seed")
+    return runs.join(F.broadcast(counts))
 
 
 @query("SELECT doc_id AS ord, length(text) / (1e2 + length(text)) AS inferred_ragebait FROM documents")
@@ -887,34 +986,44 @@ def stream_ingest_restarted(spark, sf):
     return spark.read.schema(schemas.CANDIDATES).parquet(out).select("tweet_id", "text", "likes")
 
 
-@query(f"WITH {ARRIVALS} SELECT DISTINCT tweet_id, text FROM arrivals")
+# All events, every tenth twice; the later copy has more likes, and it is the first that stays.
+@query(f"WITH {EVENT_POSTS} SELECT tweet_id, likes, 1 AS arrival FROM posts")
 def stream_dedupe(spark, sf):
     out, state = work_dir(spark, "unique"), work_dir(spark, "state")
-    _, stream = _landing(spark, sf)
+    stream = _event_landing(spark, sf)
     timed = stream.withColumn("created_ts", clock.parse_created_at(F.col("created_at")))
-    unique = streams.dedupe_stream(timed, "60 days").select("tweet_id", "text")
+    unique = streams.dedupe_stream(timed, "60 days", order=["arrival"]).select("tweet_id", "likes", "arrival")
     streams.to_parquet(unique, out, state).awaitTermination()
-    return spark.read.schema("tweet_id string, text string").parquet(out)
+    return spark.read.schema("tweet_id string, likes long, arrival int").parquet(out)
 
 
-@query(f"WITH {POSTS} SELECT tweet_id, likes + replies + reposts AS engagement_total FROM posts WHERE {_PASSES}")
+# Where the first copy fails, the later one must not take its place.
+@query(f"WITH {EVENT_POSTS} SELECT tweet_id, likes + replies + reposts AS engagement_total FROM posts WHERE {_PASSES}")
 def stream_candidates(spark, sf):
-    landing, out, state = (work_dir(spark, n) for n in ("landing", "kept", "state"))
-    _land(samples.posts(spark, sf).withColumn("arrival", F.lit(1)), landing)
-    stream = streams.landing_stream(spark, landing, _schema(_LANDED), files_per_trigger=2)
-    kept = streams.candidate_stream(stream, "60 days", RULES).select("tweet_id", "engagement_total")
-    streams.to_parquet(kept, out, state).awaitTermination()
+    out, state = work_dir(spark, "kept"), work_dir(spark, "state")
+    kept = streams.candidate_stream(_event_landing(spark, sf), "60 days", RULES, order=["arrival"])
+    streams.to_parquet(kept.select("tweet_id", "engagement_total"), out, state).awaitTermination()
     return spark.read.schema("tweet_id string, engagement_total long").parquet(out)
 
 
-@query(f"""WITH {POSTS}, w AS (SELECT *, date_trunc('day', created_ts) AS day FROM posts)
+def _event_landing(spark: SparkSession, sf: str) -> DataFrame:
+    """All events and later copies of every tenth, in the same files."""
+    landing = work_dir(spark, "landing")
+    first = samples.event_posts(spark, sf).withColumn("arrival", F.lit(1))
+    again = (first.filter("ord % 10 = 0").withColumn("arrival", F.lit(2))
+             .withColumn("likes", F.col("likes") + 100))
+    _land(again.unionByName(first), landing)
+    return streams.landing_stream(spark, landing, _schema(_LANDED), files_per_trigger=2)
+
+
+@query(f"""WITH {EVENT_POSTS}, w AS (SELECT *, date_trunc('day', created_ts) AS day FROM posts)
   SELECT strftime(day, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(day + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
     query_source, count(*) AS posts, CAST(sum(likes + replies + reposts) AS BIGINT) AS engagement FROM w
   WHERE day + INTERVAL 1 DAY <= (SELECT date_trunc('second', max(created_ts)) - INTERVAL 1 HOUR FROM posts)
   GROUP BY day, query_source""")
 def stream_windows(spark, sf):
     landing, out, state = (work_dir(spark, n) for n in ("landing", "windows", "state"))
-    _land(samples.posts(spark, sf).withColumn("arrival", F.lit(1)), landing)
+    _land(samples.event_posts(spark, sf).withColumn("arrival", F.lit(1)), landing)
     stream = (streams.landing_stream(spark, landing, _schema(_LANDED))
               .withColumn("created_ts", clock.parse_created_at(F.col("created_at"))))
     totals = streams.window_totals(stream, "2024-01-01", "1 hour", days=1)

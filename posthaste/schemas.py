@@ -17,7 +17,8 @@ POSTS_RAW = _struct(tweet_id=STRING, text=STRING, created_at=STRING,
 CANDIDATES = _struct(tweet_id=STRING, text=STRING, created_at=STRING,
                      likes=LONG, replies=LONG, reposts=LONG,
                      engagement_total=LONG, query_source=STRING,
-                     collected_at=TIMESTAMP)
+                     # The instant of created_at, and the place in the order of collection.
+                     created_ts=TIMESTAMP, ord=LONG, collected_at=TIMESTAMP)
 
 CLEANED = _struct(ord=LONG, text=STRING)
 

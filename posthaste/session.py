@@ -27,9 +27,11 @@ def build_session(app: str = "posthaste", master: str | None = None,
     return builder.getOrCreate()
 
 
-def use_utc(spark: SparkSession) -> None:
-    """Pin the zone in which timestamps are read, parsed and shown."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+def require_utc(spark: SparkSession) -> None:
+    """Times without a zone are meant as UTC, so the session must say so."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z", "+00:00"):
+        raise ValueError(f"set spark.sql.session.timeZone to UTC; it is {zone}")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:

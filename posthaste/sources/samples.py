@@ -30,6 +30,18 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_source", "created_at", "created_ts", "likes", "replies", "reposts")
 
 
+def event_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One post per event; the documents take turns as texts."""
+    documents = table(spark, sf_dir, "documents").withColumnRenamed("source", "query_source")
+    texts = documents.count()
+    events = table(spark, sf_dir, "events")
+    return (events.withColumn("doc_id", F.col("event_id") % texts).join(documents, "doc_id").select(
+        F.col("event_id").cast("string").alias("tweet_id"), F.col("event_id").alias("ord"), "text", "lang",
+        "query_source", clock.format_created_at(F.col("ts")).alias("created_at"), F.col("ts").alias("created_ts"),
+        F.floor("value").cast("long").alias("likes"), F.get_json_object("props", "$.k").cast("long").alias("replies"),
+        (F.col("user_id") % 50).alias("reposts")))
+
+
 def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts, and a later copy with more likes of every tenth."""
     first = posts(spark, sf_dir).withColumn("arrival", F.lit(1))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from posthaste.session import use_utc, work_dir
+from posthaste.session import require_utc, work_dir
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -26,8 +26,9 @@ def matching_paths(spark: SparkSession, pattern: str) -> list[str]:
 
 def zoned(df: DataFrame) -> DataFrame:
     """Timestamps without a zone become UTC instants, as watermarks need."""
-    use_utc(df.sparkSession)
     plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.TimestampNTZType)]
+    if plain:
+        require_utc(df.sparkSession)
     return df.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else df
 
 
@@ -64,6 +65,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table."""
+    fs, jpath = _filesystem(spark, path)
+    fs.delete(jpath, True)
+
+
 def published_versions(spark: SparkSession, table_dir: str) -> list[int]:
     """Committed versions; Spark writes ``_SUCCESS`` when a job has committed."""
     done = matching_paths(spark, f"{table_dir}/version=*/_SUCCESS")
@@ -101,6 +108,13 @@ def read_chunks(spark: SparkSession, directory: str, schema: T.StructType) -> Da
     return spark.read.schema(schema).parquet(*runs)
 
 
+def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As :func:`stored`, with the path, for a caller that removes the table."""
+    path = work_dir(df.sparkSession, name)
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def append_new(new: DataFrame, table_dir: str) -> None:
     """Add rows to a table without rewriting it; an empty frame writes nothing."""
     if not new.isEmpty():

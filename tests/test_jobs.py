@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from posthaste import schemas
 from posthaste.operators import annotate, filters, model, reports, splits, stats, training
-from posthaste.plans import curate, train
+from posthaste.plans import annotation, curate, train
 from posthaste.session import work_dir
 from posthaste.sources import history, samples, tables
 from posthaste.streaming import posts as streams
@@ -155,7 +155,7 @@ def test_scoring_is_narrow(spark, scored_texts):
 def test_training_run(spark, scored_texts, folder, monkeypatch):
     seen = []
     monkeypatch.setattr(train.model, "search", lambda df, *a, f=model.search: seen.append(df) or f(df, *a))
-    result = train.train(scored_texts, folder, {"reg_param": (1e-4, 1e-2, "log"), "max_iter": [5]},
+    result = train.train(scored_texts, folder, {"reg_param": model.Between(1e-4, 1e-2, True), "max_iter": model.OneOf((5,))},
                          n_trials=2, test_size=0.1, hpo_subsample_size=100)
     run = history.load_metadata(spark, f"{folder}/runs").first()
     assert (run["n_train_val"], run["n_test"], run["n_hpo_rows"], run["seed"]) == (216, 24, 100, 42)
@@ -168,12 +168,13 @@ def test_training_run(spark, scored_texts, folder, monkeypatch):
 
 
 def test_random_search_table():
-    space = {"lr": (1e-6, 5e-5, "log"), "batch": [16, 32, 64], "decay": (0.0, 0.1, "linear")}
-    drawn = model.sample_params(space, 200, 42)
-    assert drawn == model.sample_params(space, 200, 42) != model.sample_params(space, 200, 43)
-    assert all(1e-6 <= d["lr"] <= 5e-5 and 0 <= d["decay"] <= 0.1 for d in drawn)
-    assert {d["batch"] for d in drawn} == {16, 32, 64}
-    assert sum(d["lr"] < 7e-6 for d in drawn) > 70  # about half lies below the geometric middle
+    space = {"size": model.Between(1, 10_000, by_magnitude=True), "share": model.Between(-1, 1),
+             "kind": model.OneOf(("a", "b"))}
+    drawn = model.sample_params(space, 300, 1)
+    assert drawn == model.sample_params(space, 300, 1) != model.sample_params(space, 300, 2)
+    assert all(1 <= d["size"] <= 10_000 and -1 <= d["share"] <= 1 for d in drawn)
+    assert {d["kind"] for d in drawn} == {"a", "b"}
+    assert 110 < sum(d["size"] < 100 for d in drawn) < 190  # half lies below the geometric middle
 
 
 def test_plugin_predictor_gets_bounded_batches(spark):
@@ -224,6 +225,45 @@ def test_stream_filter_comes_after_dedupe(spark, folder):
     assert [r["tweet_id"] for r in spark.read.parquet(out).collect()] == ["b"]
 
 
+def test_stream_keeps_the_first_copy_of_a_batch(spark, folder):
+    schema = "tweet_id string, text string, created_at string, likes long, replies long, reposts long, arrival int"
+    day = "Mon Jan 01 00:00:00 +0000 2024"
+    rows = [("a", "x" * 60, day, 60, 0, 0, 2), ("a", "x" * 60, day, 40, 0, 0, 1), ("b", "x" * 60, day, 60, 0, 0, 1),
+            (None, "x" * 60, day, 70, 0, 0, 1), (None, "x" * 60, day, 60, 0, 0, 2), ("c", "x" * 60, None, 60, 0, 0, 1)]
+    landing, out, state = (f"{folder}/{n}" for n in ("landing", "out", "state"))
+    for turn in range(2):  # the second file only repeats the ids of the first
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(landing)
+        stream = streams.landing_stream(spark, landing, spark.createDataFrame([], schema).schema)
+        kept = streams.candidate_stream(stream, "10 days", RULES, order=["arrival"])
+        run(streams.to_parquet(kept, out, state))
+    found = {(r["tweet_id"], r["likes"]) for r in spark.read.parquet(out).collect()}
+    assert found == {("b", 60), (None, 70)}
+
+
+def test_commits_do_not_grow_with_chunks(spark, folder, monkeypatch):
+    monkeypatch.setattr(annotate, "MAX_RUNS", 3)
+    rows = spark.range(120).selectExpr("id as ord", "concat('text ', id) as text")
+    result = annotation.run(rows, folder, annotate.offline_scorer, size=4, chunks_per_run=2)
+    assert len(tables.committed_runs(spark, f"{folder}/answers")) == 3
+    assert result["report"].first().asDict()["chunks"] == 30
+    again = annotation.run(rows, folder, annotate.offline_scorer, size=4, chunks_per_run=2)
+    assert len(tables.committed_runs(spark, f"{folder}/answers")) == 3
+    assert again["annotated"].count() == 120
+
+
+def test_collecting_numbers_rows_and_leaves_no_staging(spark, sf, folder):
+    base = spark.conf.get("spark.checkpoint.dir")
+    arrived = samples.arrivals(spark, sf).withColumn("tweet_id", F.when(F.col("ord") % 5 > 0, F.col("tweet_id")))
+    before = {n for n in os.listdir(base) if n.startswith(("ranges", "accepted"))}
+    for target in (20, 50, None, None):
+        kept = curate.collect_into(f"{folder}/t", arrived, ["arrival", "ord"], RULES, target)
+        assert target is None or kept.count() == target
+    rows = kept.collect()
+    assert sorted(r["ord"] for r in rows) == list(range(len(rows)))
+    assert all(r["created_ts"] is not None for r in rows) and sum(r["tweet_id"] is None for r in rows) <= 1
+    assert {n for n in os.listdir(base) if n.startswith(("ranges", "accepted"))} == before
+
+
 def test_json_landing(spark, sf, folder):
     rows = samples.posts(spark, sf).withColumn("arrival", F.lit(1)).select(*LANDED)
     rows.write.json(f"{folder}/landing")
@@ -235,12 +275,11 @@ def test_json_landing(spark, sf, folder):
 def test_whole_path_from_arrivals_to_scores(spark, sf, folder):
     arrived = samples.arrivals(spark, sf).select(*LANDED)
     kept = curate.collect_into(f"{folder}/candidates", arrived, ["arrival", "ord"], RULES)
-    ordered = kept.withColumn("ord", F.col("tweet_id").cast("long"))
-    head, rest = curate.clean_and_split(ordered, f"{folder}/cleaned", n=100)
+    head, rest = curate.clean_and_split(kept, f"{folder}/cleaned", n=100)
     assert head.count() == 100 and head.agg(F.max("ord")).first()[0] < rest.agg(F.min("ord")).first()[0]
     tables.write_table(splits.assign_chunks(head, 30), f"{folder}/chunks")
     done = annotate.annotate_chunks(spark.read.parquet(f"{folder}/chunks"), f"{folder}/answers", annotate.offline_scorer)
     scored = done.select("ord", "text", F.col("ragebait").alias("score"))
-    train.train(scored, f"{folder}/trained", {"reg_param": (1e-3, 1e-2, "log"), "max_iter": [3]}, n_trials=1)
+    train.train(scored, f"{folder}/trained", {"reg_param": model.Between(1e-3, 1e-2, True), "max_iter": model.OneOf((3,))}, n_trials=1)
     final = train.infer(rest, f"{folder}/trained/model", f"{folder}/scored")
     assert final.count() == rest.count()

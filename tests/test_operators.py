@@ -87,7 +87,7 @@ def test_range_is_checked_before_duplicates_go(spark):
         training.prepare_training(edges.drop("score"))
 
 
-def test_keyword_paths_agree_with_brute_force(spark):
+def test_keywords_equal_brute_force_in_blocks_of_any_size(spark):
     texts = ["Climate Change is here", "climate", "the CHANGE of heart", "xx", None, "a b", "tax taxes", "ΑΒΓ Climate"]
     words = ["change", "climate change", "tax", "b", "heart", "αβγ", "climate", "", "zzzzzzzz"]
     rows = spark.createDataFrame(
@@ -97,12 +97,59 @@ def test_keyword_paths_agree_with_brute_force(spark):
     table = spark.createDataFrame(list(enumerate(words)), "kw_id int, keyword string")
     expected = {i: next(w for w in words if w and w in t.lower()) for i, t in enumerate(texts)
                 if t and any(w and w in t.lower() for w in words)}
-    for limits in ({}, {"max_inline": 0}, {"max_inline": 0, "max_broadcast": 0}):
-        found = keywords.keyword_candidates(rows, table, **limits)
+    for block in (1, 3, keywords.BLOCK_KEYWORDS):
+        found = keywords.keyword_candidates(rows, table, block_keywords=block)
         assert {r["ord"]: r["query_source"] for r in found.collect()} == expected
     assert keywords.keyword_candidates(rows, table.filter("false")).count() == 0
 
 
+def test_keywords_with_repeated_and_missing_keys(spark):
+    rows = spark.createDataFrame([(None, "x then"), (1, "A House then"), (1, "x3"), (1, "x3"), (2, None), (3, "none")],
+                                 "ord long, text string").selectExpr(
+        "*", "'en' as lang", "20 as likes", "timestamp'2026-02-01' as created_ts")
+    table = spark.createDataFrame([(1, "then"), (1, "House"), (0, "x3"), (None, "x"), (2, ""), (3, None), (5, "THEN")],
+                                  "kw_id long, keyword string")
+    for block in (1, 100):
+        found = keywords.keyword_candidates(rows, table, block_keywords=block).collect()
+        assert sorted(((r["ord"], r["text"], r["query_source"]) for r in found), key=str) == [
+            (1, "A House then", "House"), (1, "x3", "x3"), (1, "x3", "x3"), (None, "x then", "then")]
+
+
+def test_dates_reach_the_scan(spark, sf):
+    rows = spark.read.parquet(f"{sf}/events.parquet").withColumnRenamed("ts", "created_ts")
+    text = plan(filters.in_window(rows, "2024-01-01", "2024-01-02"))
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in text
+
+
+def test_cuts_keep_every_row(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "d"), (None, "e"), (None, "f")], "ord long, t string")
+    for n in range(8):
+        head, rest = (part.collect() for part in splits.split_at(rows, n))
+        assert len(head) == min(n, 6) and sorted(r["t"] for r in head + rest) == list("abcdef")
+        key = lambda r: (r["ord"] is None, r["ord"] or 0)
+        assert not head or not rest or max(map(key, head)) <= min(map(key, rest))
+        assert filters.take_until(rows, n + 2, 2).count() == min(n, 6)
+    assert sorted(r["chunk_id"] for r in splits.assign_chunks(rows, 4).collect()) == [0, 0, 0, 0, 1, 1]
+    equal = spark.createDataFrame([(1, "a"), (1, "a"), (2, "d")], "ord long, t string")
+    with pytest.raises(ValueError, match="equal"):
+        splits.split_at(equal, 1)
+    assert splits.split_at(equal, 2)[0].count() == 2
+
+
+def test_positions_by_columns_of_any_type(spark):
+    rows = spark.createDataFrame([("b", 1), ("a", 2), (None, 3), ("a", 1)], "k string, v int")
+    placed, path = ranks.with_position(rows, ["k", "v"], "position")
+    assert {(r["k"], r["v"]): r["position"] for r in placed.collect()} == {
+        ("a", 1): 0, ("a", 2): 1, ("b", 1): 2, (None, 3): 3}
+
+
+def test_a_second_label_goes_by_order(spark):
+    rows = spark.createDataFrame([(1, "h", 1, 2), (1, "h", 0, 1), (1, "m", 0, 1), (2, "h", 1, 1), (2, "m", 1, 1)],
+                                 "item long, rater string, label int, at int")
+    assert stats.agreement(rows, ["h", "m"], order="at").first()["agreement"] == 1.0
+    assert stats.agreement(rows.withColumn("at", -F.col("at")), ["h", "m"], order="at").first()["agreement"] == 0.5
+
+
 # --- duplicates ----------------------------------------------------------------
 
 def test_null_texts_are_one_group(spark):
