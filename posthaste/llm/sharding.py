@@ -28,7 +28,8 @@ from posthaste.sources.tables import stored
 
 # Share of all bytes from which a group is packed by itself, and number of pallets for the rest.
 PARTS = 4096
-# Rows are numbered inside cells of about so many rows; the number of cells is bounded as well.
+# Rows are numbered inside cells of at most about so many rows, or a PARTS-th of all rows if
+# that is less; the number of cells is bounded as well.
 CELL_ROWS = 200_000
 MAX_CELLS = 65_536
 
@@ -167,12 +168,13 @@ def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None,
     large = [tuple(r) for r in groups.filter(F.col("size") * F.col("rows") >= least)
              .orderBy("size", "_a", "_b").collect()]
 
-    cells = max(1, min(MAX_CELLS, math.ceil(rows / CELL_ROWS)) // pallets)
+    cell_rows = max(math.ceil(rows / MAX_CELLS), min(CELL_ROWS, math.ceil(rows / PARTS)), 1)
+    cells = max(1, rows // pallets // cell_rows)
     marks, items = [], 0
     for size, a, b, count in large:
         whole = size * count <= bound
         pieces = 1 if whole else min(count, math.ceil(size * count / least))
-        marks.append((size, a, b, pallets + items, pieces, max(1, math.ceil(count / pieces / CELL_ROWS))))
+        marks.append((size, a, b, pallets + items, pieces, max(1, math.ceil(count / pieces / cell_rows))))
         items += pieces
     spark = docs.sparkSession
     known = spark.createDataFrame(marks, "size long, _a long, _b long, _item int, _pieces int, _cells int")
