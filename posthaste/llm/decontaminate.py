@@ -7,8 +7,8 @@ only there the whole window is compared with the document. As words and windows
 are compared themselves, not their hashes, there are no false hits.
 
 The windows are broadcast if there are at most ``MAX_BROADCAST``; more of them
-are joined by shuffling the words of the documents, for the same result. Common
-anchors are then split by Spark's adaptive skew join.
+meet the words of the documents by a shuffle, for the same result. A common
+anchor is then split by Spark's adaptive skew join.
 
 Words are runs of letters a-z, digits and characters beyond ASCII; only A-Z are
 lower-cased. Nulls and ties: a null or empty text has no words and no hits.
@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from posthaste.sources.tables import stored
+
 WIDTH = 13
 # A window of 13 words takes about 200 bytes, so at most about 40 MB are broadcast.
 MAX_BROADCAST = 200_000
@@ -68,29 +70,46 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
     found = windows(benchmark, width)
     sought = found.groupBy(F.lower("anchor").alias("key")).agg(F.collect_list(F.struct(
         "words", F.transform("words", F.lower).alias("lowered"), "items", "place")).alias("windows"))
-    # No word is empty: the empty key lets one row of every document through.
-    none = docs.sparkSession.range(1).select(F.lit("").alias("key"), F.lit(None).cast(
-        sought.schema["windows"].dataType).alias("windows"))
-    sought = sought.unionByName(none)
-    if found.count() <= MAX_BROADCAST:
-        sought = F.broadcast(sought)
     # Whole texts are lower-cased quickly, but that also changes letters beyond ASCII. It never moves
     # a word, so the few places found in this way are looked at again as they are written.
     told = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text",
                        words(F.lower("text")).alias("all"))
+    if found.count() <= MAX_BROADCAST:
+        return _hits_by_broadcast(told, sought)
+    return _hits_by_shuffle(told, sought)
+
+
+def _alike(begin: Column, window: Column) -> Column:
+    """Whether the window's words stand from the ``begin``-th word on, in lower case."""
+    said = F.slice("all", F.greatest(begin, F.lit(1)), F.size(window["words"]))
+    return (begin >= 1) & (said == window["lowered"])
+
+
+def _exactly(begin: Column, window: Column) -> Column:
+    """Whether they do so if only A-Z are lower-cased; sure where a text is ASCII."""
+    ascii_only = F.octet_length("text") == F.char_length("text")
+    said = F.slice(words(F.col("text")), begin, F.size(window["words"]))
+    return ascii_only | (F.transform(said, lower_ascii) == window["words"])
+
+
+def _span(begin: Column, window: Column) -> Column:
+    return F.struct((begin - 1).alias("start"), F.size(window["words"]).alias("length"))
+
+
+def _hits_by_broadcast(told: DataFrame, sought: DataFrame) -> DataFrame:
+    """Words meet the anchors inside the scan; nothing but the hits is shuffled."""
+    # No word is empty: the empty key lets one row of every document through.
+    none = told.sparkSession.range(1).select(F.lit("").alias("key"), F.lit(None).cast(
+        sought.schema["windows"].dataType).alias("windows"))
     apart = told.select("doc_id", "text_hash", "text", "all",
                         F.posexplode(F.array_append("all", F.lit(""))).alias("at", "key"))
-    near = apart.join(sought, "key").withColumn("w", F.explode_outer("windows"))
-    # Where the window would have to begin, from 1, and whether it stands there.
-    begin, length = F.col("at") + 2 - F.col("w.place"), F.size("w.words")
-    alike = (begin >= 1) & (F.slice("all", F.greatest(begin, F.lit(1)), length) == F.col("w.lowered"))
-    ascii_only = F.octet_length("text") == F.char_length("text")
-    exactly = F.transform(F.slice(words(F.col("text")), F.col("begin"), length), lower_ascii) == F.col("w.words")
-    there = (near.filter((F.col("key") == "") | alike).withColumn("begin", begin)
+    near = apart.join(F.broadcast(sought.unionByName(none)), "key").withColumn("w", F.explode_outer("windows"))
+    begin, window = F.col("at") + 2 - F.col("w.place"), F.col("w")
+    there = (near.filter((F.col("key") == "") | _alike(begin, window)).withColumn("begin", begin)
              .select("doc_id", "text_hash", "w.items",
                      F.when(F.col("key") == "", F.size("all")).alias("n_words"),
-                     F.when((F.col("key") != "") & (ascii_only | exactly), F.struct(
-                         (F.col("begin") - 1).alias("start"), length.alias("length"))).alias("span"))
+                     F.when((F.col("key") != "") & _exactly(F.col("begin"), window),
+                            _span(F.col("begin"), window)).alias("span"))
              .withColumn("items", F.when(F.col("span").isNotNull(), F.col("items"))))
     return there.groupBy("doc_id", "text_hash").agg(
         F.count("n_words").alias("copies"), F.max("n_words").alias("n_words"),
@@ -98,6 +117,27 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
+def _hits_by_shuffle(told: DataFrame, sought: DataFrame) -> DataFrame:
+    """Words meet any number of anchors by a shuffle, without their texts; the
+    places found come back to each text as one row."""
+    apart = told.select("doc_id", "text_hash", F.posexplode("all").alias("at", "key"))
+    near = (apart.join(stored(sought, "sought"), "key").withColumn("w", F.explode("windows"))
+            .withColumn("begin", F.col("at") + 2 - F.col("w.place")))
+    places = (near.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+              .agg(F.collect_set(F.struct("begin", "w")).alias("places")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
+    looked = told.join(places, same, "left").withColumn("found", F.filter(
+        F.coalesce("places", F.array().cast(places.schema["places"].dataType)),
+        lambda p: _alike(p["begin"], p["w"]) & _exactly(p["begin"], p["w"])))
+    spans = F.sort_array(F.array_distinct(F.transform("found", lambda p: _span(p["begin"], p["w"]))))
+    items = F.sort_array(F.array_distinct(F.flatten(F.transform("found", lambda p: p["w"]["items"]))))
+    return (looked.select("doc_id", "text_hash", F.size("all").alias("n_words"), spans.alias("spans"),
+                          items.alias("items"))
+            .groupBy("doc_id", "text_hash").agg(
+                F.count("*").alias("copies"), F.max("n_words").alias("n_words"),
+                F.first("spans").alias("spans"), F.first("items").alias("items")))
+
+
 def covered(spans: Column) -> Column:
     """Number of words inside any of the sorted (start, length) spans."""
     nothing = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("total"))
