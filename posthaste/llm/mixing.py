@@ -88,7 +88,9 @@ def _sources(words: DataFrame, weights: tuple[int, ...], percent: int, repeats:
              .withColumn("points", F.coalesce(
                  F.try_divide(F.col("target") * F.col("blocks"), F.col("source_size")), F.lit(0.0))))
     upto = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
-    ends = F.sum("points").over(upto) / F.sum("points").over(Window.partitionBy(F.lit(0)))
+    # Without any word there are no points and no stretches.
+    ends = F.coalesce(F.try_divide(F.sum("points").over(upto), F.sum("points").over(Window.partitionBy(F.lit(0)))),
+                      F.lit(0.0))
     return (sized.withColumn("end", ends)
             .withColumn("begin", F.lag("end", 1, 0.0).over(Window.orderBy("number"))).drop("rows"))
 

@@ -152,13 +152,11 @@ def _tile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
     def rows() -> Iterator[pa.RecordBatch]:
         if best is None or not best.scores.shape[1]:
             return
-        fits = best.found != np.iinfo(np.int64).max
-        query, place = np.nonzero(fits)
+        # Places that no candidate took, and the query's own row, are worse than any score.
+        query, place = np.nonzero((best.found != np.iinfo(np.int64).max) & (best.scores > best.none))
         scores = [max(-2 ** 63, min(2 ** 63 - 1, int(s))) for s in best.scores[query, place]]
-        real = np.array([s > best.none for s in best.scores[query, place]], dtype=bool)
-        yield pa.record_batch([pa.array(current_keys[query[real]]), pa.array(best.ids[query[real]]),
-                               pa.array(best.found[query, place][real]),
-                               pa.array([s for s, r in zip(scores, real) if r], pa.int64())],
+        yield pa.record_batch([pa.array(current_keys[query]), pa.array(best.ids[query]),
+                               pa.array(best.found[query, place]), pa.array(scores, pa.int64())],
                               ["query_key", "query_id", "vec_id", "score"])
 
     current_keys = np.zeros(0, dtype=np.int64)
