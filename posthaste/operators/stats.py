@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from posthaste.functions import numeric, tails
 from posthaste.operators import ranks
+from posthaste.sources.tables import stored
 
 
 def _number(column: str) -> Column:
@@ -45,10 +46,11 @@ def average_ranks(df: DataFrame, column: str, bounds: Sequence[float],
 
     Works on value counts, so a value that a third of the rows share is one
     row. The ranges of values between ``bounds`` are ranked apart and shifted
-    by the rows before them.
+    by the rows before them. A column ``_n`` tells how many rows a row stands for.
     """
     groups = list(groups)
-    counts = (df.groupBy(*groups, column).agg(F.count("*").alias("_n"))
+    weight = F.sum("_n") if "_n" in df.columns else F.count("*")
+    counts = (df.groupBy(*groups, column).agg(weight.alias("_n"))
               .withColumn("_at", F.col(column).cast("double")))
     ranged = ranks.with_range(counts, "_at", bounds, "_range")
     # At most MAX_RANGES rows per group from here to the join.
@@ -69,14 +71,20 @@ def average_ranks(df: DataFrame, column: str, bounds: Sequence[float],
 
 def spearman(df: DataFrame, a: str, b: str, groups: Sequence[str] = (),
              rows_per_range: int = ranks.ROWS_PER_RANGE) -> DataFrame:
-    """Rank correlation with averaged ties; 0.0 where it is undefined."""
+    """Rank correlation with averaged ties; 0.0 where it is undefined.
+
+    One scan counts the pairs of values; both sets of ranks come from these
+    counts. Counts and ranks are stored, so that Spark can split the pairs of a
+    hot value in the joins.
+    """
     groups = list(groups)
     rows = complete_cases(df.select(*groups, a, b), [a, b])
-    joined = rows.groupBy(*groups, a, b).agg(F.count("*").alias("_n"))
-    n_rows = rows.count()
-    cuts = ranks.range_bounds(rows, [F.col(a), F.col(b)], n_rows, ranks.range_count(rows, n_rows, rows_per_range))
+    pairs = stored(rows.groupBy(*groups, a, b).agg(F.count("*").alias("_n")), "pairs")
+    n_pairs = pairs.count()
+    cuts = ranks.range_bounds(pairs, [F.col(a), F.col(b)], n_pairs, ranks.range_count(pairs, n_pairs, rows_per_range))
+    joined = pairs
     for column, name, bounds in ((a, "_ra", cuts[0]), (b, "_rb", cuts[1])):
-        found = average_ranks(rows, column, bounds, groups)
+        found = stored(average_ranks(pairs, column, bounds, groups), "ranks")
         joined = joined.join(found.select(*groups, column, F.col("centred_rank").alias(name)),
                              [*groups, column])
     n, ra, rb = F.col("_n"), F.col("_ra"), F.col("_rb")
