@@ -148,17 +148,21 @@ def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(p[2]), p[0]) for p in pools]) if pools else np.zeros(0)
 
 
-def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> QualityModel:
-    """``(doc_id, stats, label)`` -> a model; label 1 is good, 0 is not."""
+def labelled_sample(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """About ``max_labelled`` rows of ``labels(doc_id, quality)`` that may be learned from, chosen by hash."""
+    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
+             .filter("doc_id is not null and label is not null").filter(~held_out(F.col("doc_id"))))
+    share = min(1.0, max_labelled / max(known.count(), 1))
+    return known.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
+def fit(labelled: DataFrame) -> QualityModel:
+    """``(doc_id, stats, label)`` -> a model; label 1 is good, 0 is not. Give a bounded sample."""
     random = np.random.default_rng(7)
     directions = random.normal(size=(len(STATISTICS), FEATURES)) / BANDWIDTH
     phases = random.uniform(0, 2 * np.pi, FEATURES)
-    known = labelled.filter("label is not null")
-    rows = known.count()
-    order = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
     part = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(CALIBRATED))
-    share = min(1.0, max_labelled / max(rows, 1))
-    sample = stored(known.filter(order < int(share * (1 << 30))).withColumn("part", part), "labelled")
+    sample = stored(labelled.withColumn("part", part), "labelled")
     moments = sample.agg(*[f(F.col("stats")[i].cast("double")) for f in (F.avg, F.stddev_pop)
                            for i in range(len(STATISTICS))]).first()
     size = len(STATISTICS)
@@ -201,15 +205,11 @@ def held_out(key: Column, parts: int = 5, part: int = 0) -> Column:
     return F.coalesce(F.crc32(F.encode(key.cast("string"), "UTF-8")) % parts == part, F.lit(False))
 
 
-def _labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    return stats.join(known.filter(~held_out(F.col("doc_id"))), "doc_id")
-
-
 def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` of all documents, taught by labels that are not held out."""
     stats = stored(document_statistics(docs), "stats")
-    model = fit(_labelled(stats, labels))
+    # The sample is bounded, so it can go to every task.
+    model = fit(stats.join(F.broadcast(labelled_sample(labels)), "doc_id"))
     return scored(stats, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                                        (F.col("score") >= REJECT_BELOW).cast("int").alias("predicted"))
 
@@ -217,11 +217,14 @@ def score_held_out(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _keep(batches: Iterator[pa.RecordBatch], model: QualityModel, least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
+            # A task sees whole texts, one Arrow batch at a time.
             stats = np.stack([statistics(text) for text in as_bytes(batch.column("text"))]).astype(np.float64)
             yield batch.filter(pa.array(model.score(stats) >= least))
 
 
 def without_rejected(docs: DataFrame, labels: DataFrame, least: float = REJECT_BELOW) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``least``, with all their columns."""
-    stats = stored(document_statistics(docs), "stats")
-    return docs.mapInArrow(partial(_keep, model=fit(_labelled(stats, labels)), least=least), docs.schema)
+    sample = F.broadcast(stored(labelled_sample(labels), "sample"))
+    taught = document_statistics(docs.select("doc_id", "text").join(sample, "doc_id", "left_semi"))
+    model = fit(taught.join(sample, "doc_id"))
+    return docs.mapInArrow(partial(_keep, model=model, least=least), docs.schema)
