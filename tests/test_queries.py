@@ -4,6 +4,7 @@ import pytest
 
 import compare
 from compare import contract
+from posthaste.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -11,7 +12,7 @@ def con(sf):
     return compare.database(sf)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, sf, name):
     assert compare.mismatch(spark, con, sf, name) is None
 
