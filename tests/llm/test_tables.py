@@ -24,6 +24,15 @@ def test_query_equals_its_sql(spark, name):
     assert compare.mismatch(spark, compare.database(folder), folder, name) is None
 
 
+@pytest.mark.parametrize("name, table", [
+    ("op2_shards", "documents"), ("op5_licenses", "documents"), ("op6_quality", "documents"),
+    ("op9_secrets", "documents"), ("op10_mixture", "documents")])
+def test_query_returns_a_row_per_document(spark, sf, name, table):
+    found = queries.QUERIES[name](spark, sf)
+    ids = sorted(r.doc_id for r in found.select("doc_id").collect())
+    assert ids == sorted(r.doc_id for r in spark.read.parquet(f"{sf}/{table}.parquet").select("doc_id").collect())
+
+
 def plain_best_fit(sizes, capacity):
     rooms, bins = [], [0] * len(sizes)
     for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
