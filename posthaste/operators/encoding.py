@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 MAX_CATEGORIES = 2_000
 
 
-def categories(df: DataFrame, column: str, most: int = MAX_CATEGORIES) -> list[str]:
+def categories(df: DataFrame, column: str, most: int | None = None) -> list[str]:
     """Sorted distinct values. Each becomes a column, so more than ``most`` fail."""
+    most = MAX_CATEGORIES if most is None else most
     found = df.select(F.col(column).cast("string").alias("c")).distinct().dropna().limit(most + 1).collect()
     if len(found) > most:
         raise ValueError(f"'{column}' has more than {most} categories")
@@ -20,7 +21,7 @@ def categories(df: DataFrame, column: str, most: int = MAX_CATEGORIES) -> list[s
 
 
 def dummies(df: DataFrame, columns: Sequence[str],
-            domains: Mapping[str, Sequence[str]] | None = None, most: int = MAX_CATEGORIES) -> DataFrame:
+            domains: Mapping[str, Sequence[str]] | None = None, most: int | None = None) -> DataFrame:
     """Replace each column by 0/1 columns ``<column>_<category>``.
 
     The first category is the baseline and gets no column. A missing value is
