@@ -32,11 +32,11 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def lower_ascii(word: Column) -> Column:
-    """A-Z lower-cased and nothing else; the quick way where a word is ASCII."""
+def lower_ascii(text: Column) -> Column:
+    """A-Z lower-cased and nothing else; the quick way where a text is ASCII."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    ascii_only = F.octet_length(word) == F.char_length(word)
-    return F.when(ascii_only, F.lower(word)).otherwise(F.translate(word, upper, lower))
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, upper, lower))
 
 
 def words(text: Column) -> Column:
@@ -68,28 +68,20 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
     ids found; ``copies`` tells how many rows are equal.
     """
     found = windows(benchmark, width)
-    sought = found.groupBy(F.lower("anchor").alias("key")).agg(F.collect_list(F.struct(
-        "words", F.transform("words", F.lower).alias("lowered"), "items", "place")).alias("windows"))
-    # Whole texts are lower-cased quickly, but that also changes letters beyond ASCII. It never moves
-    # a word, so the few places found in this way are looked at again as they are written.
-    told = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text",
-                       words(F.lower("text")).alias("all"))
+    sought = found.groupBy(F.col("anchor").alias("key")).agg(
+        F.collect_list(F.struct("words", "items", "place")).alias("windows"))
+    # A-Z alone are lower-cased, here and in windows: what becomes of other letters can depend on their neighbours.
+    told = docs.select("doc_id", F.xxhash64("text").alias("text_hash"),
+                       words(lower_ascii(F.col("text"))).alias("all"))
     if found.count() <= MAX_BROADCAST:
         return _hits_by_broadcast(told, sought)
     return _hits_by_shuffle(told, sought)
 
 
 def _alike(begin: Column, window: Column) -> Column:
-    """Whether the window's words stand from the ``begin``-th word on, in lower case."""
+    """Whether the window's words stand from the ``begin``-th word on."""
     said = F.slice("all", F.greatest(begin, F.lit(1)), F.size(window["words"]))
-    return (begin >= 1) & (said == window["lowered"])
-
-
-def _exactly(begin: Column, window: Column) -> Column:
-    """Whether they do so if only A-Z are lower-cased; sure where a text is ASCII."""
-    ascii_only = F.octet_length("text") == F.char_length("text")
-    said = F.slice(words(F.col("text")), begin, F.size(window["words"]))
-    return ascii_only | (F.transform(said, lower_ascii) == window["words"])
+    return (begin >= 1) & (said == window["words"])
 
 
 def _span(begin: Column, window: Column) -> Column:
@@ -101,16 +93,14 @@ def _hits_by_broadcast(told: DataFrame, sought: DataFrame) -> DataFrame:
     # No word is empty: the empty key lets one row of every document through.
     none = told.sparkSession.range(1).select(F.lit("").alias("key"), F.lit(None).cast(
         sought.schema["windows"].dataType).alias("windows"))
-    apart = told.select("doc_id", "text_hash", "text", "all",
+    apart = told.select("doc_id", "text_hash", "all",
                         F.posexplode(F.array_append("all", F.lit(""))).alias("at", "key"))
     near = apart.join(F.broadcast(sought.unionByName(none)), "key").withColumn("w", F.explode_outer("windows"))
     begin, window = F.col("at") + 2 - F.col("w.place"), F.col("w")
     there = (near.filter((F.col("key") == "") | _alike(begin, window)).withColumn("begin", begin)
              .select("doc_id", "text_hash", "w.items",
                      F.when(F.col("key") == "", F.size("all")).alias("n_words"),
-                     F.when((F.col("key") != "") & _exactly(F.col("begin"), window),
-                            _span(F.col("begin"), window)).alias("span"))
-             .withColumn("items", F.when(F.col("span").isNotNull(), F.col("items"))))
+                     F.when(F.col("key") != "", _span(F.col("begin"), window)).alias("span")))
     return there.groupBy("doc_id", "text_hash").agg(
         F.count("n_words").alias("copies"), F.max("n_words").alias("n_words"),
         F.sort_array(F.collect_set("span")).alias("spans"),
@@ -128,7 +118,7 @@ def _hits_by_shuffle(told: DataFrame, sought: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
     looked = told.join(places, same, "left").withColumn("found", F.filter(
         F.coalesce("places", F.array().cast(places.schema["places"].dataType)),
-        lambda p: _alike(p["begin"], p["w"]) & _exactly(p["begin"], p["w"])))
+        lambda p: _alike(p["begin"], p["w"])))
     spans = F.sort_array(F.array_distinct(F.transform("found", lambda p: _span(p["begin"], p["w"]))))
     items = F.sort_array(F.array_distinct(F.flatten(F.transform("found", lambda p: p["w"]["items"]))))
     return (looked.select("doc_id", "text_hash", F.size("all").alias("n_words"), spans.alias("spans"),

@@ -179,6 +179,18 @@ def test_contamination(contaminated, monkeypatch, bound):
     assert sorted(map(tuple, found), key=str) == brute_contamination(rows, items)
 
 
+@pytest.mark.parametrize("bound", [decontaminate.MAX_BROADCAST, 0])
+def test_contamination_by_letters_that_depend_on_their_neighbours(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", bound)
+    items = [(1, "Το Δ.Σ. της ΔΕΗ"), (2, "ΟΔΟΣ:ΑΒΓ " + " ".join("abcdefghijklmn")), (3, "İI K Σ")]
+    rows = items + [(4, "το δ.σ. της δεη"), (5, "x ΟΔΟΣ ΑΒΓ A B C d e f g h i j k"), (6, "İi k Σ'A"), (7, "i̇i k σ")]
+    found = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"),
+                                        spark.createDataFrame(items, "item_id long, text string"))
+    expected = brute_contamination(rows, items)
+    assert [r[0] for r in expected if r[3]] == [1, 2, 3, 5, 6]
+    assert sorted(map(tuple, found.drop("text_hash").collect()), key=str) == expected
+
+
 def test_contaminated_documents_and_spans_go(spark, contaminated):
     docs, benchmark, rows, items = contaminated
     bad = {(r[0], r[1]) for r in rows if brute_contamination([r], items)[0][5]}
