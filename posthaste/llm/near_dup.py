@@ -301,7 +301,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             pairs = pairs.join(reduce(DataFrame.unionByName, done), ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            # Without a bucket in the first turn there is none later; an empty second turn says nothing of the tiles.
+            if turn == 0:
+                break
+            continue
         if texts is None:
             # Every node that shares a bucket is in a pair of the first turn.
             wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()

@@ -110,6 +110,47 @@ def test_near_copies_of_a_hot_base_in_tiles(spark, monkeypatch):
     assert {r.doc_id: r.n_shingles for r in found} == sizes
 
 
+def in_buckets(monkeypatch, bands, buckets):
+    """Bands by hand: ``buckets`` are (band, texts that share a bucket in it)."""
+    shared = {(t, band): n for n, (band, texts) in enumerate(buckets) for t in texts}
+
+    def profile(batches, width):
+        import pyarrow as pa
+        from posthaste.llm.near_dup import _profile
+        for batch in batches:
+            keys = [[shared.get((t, b), -1 - (zlib.crc32(t.encode()) * bands + b)) for b in range(bands)]
+                    for t in batch.column("text").to_pylist()]
+            made = pa.Table.from_batches(list(_profile(iter([batch]), width)))
+            yield pa.record_batch([*(made.column(c).combine_chunks() for c in ("doc_id", "n_shingles", "set_id")),
+                                   pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "bands"])
+
+    monkeypatch.setattr(near_dup, "_profile", profile)
+
+
+def left_for_tiles(rng, c, d):
+    """Texts (a, e, b, f) and buckets in which only tiles compare ``c`` and ``d``."""
+    a, e, b, f = (passage(rng, 200) for _ in range(4))
+    pairs = [(1, (b, c)), (2, (b, d))] + [(n, (b, f)) for n in (3, 4, 5)] + [(n, (a, e)) for n in range(1, 8)]
+    return [a, e, b, f], [(0, (a, b, c, d)), *pairs]
+
+
+def altered(text, n):
+    return " ".join(["other%d" % i for i in range(n)] + text.split(" ")[n:])
+
+
+def test_near_duplicates_that_no_pivot_meets(spark, monkeypatch):
+    rng = random.Random(17)
+    c = passage(rng, 200)
+    d = altered(c, 3)
+    others, buckets = left_for_tiles(rng, c, d)
+    in_buckets(monkeypatch, 8, buckets)
+    rows = list(enumerate([*others, c, d]))
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    want, _ = brute_components(rows, 3, 85)
+    assert want[5] == 4
+    assert {r.doc_id: r.component_id for r in found} == want
+
+
 def test_signature_is_the_minimum_over_random_ranks():
     """The step-wise form equals the plain one, element by element."""
     sets = near_dup.shingle_sets([b"a b c d e f g", b"x", passage(random.Random(1), 900).encode()], 2)
