@@ -102,6 +102,10 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _set_id(members: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest() if len(members) else None
+
+
 def _profile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = as_bytes(batch.column("text"))
@@ -112,23 +116,23 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
             yield pa.record_batch([
                 batch.column("doc_id").slice(piece.start, len(sets)),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                          for s in sets], pa.binary()),
+                pa.array([_set_id(s) for s in sets], pa.binary()),
                 pa.array([keys.get(i) for i in range(len(sets))], pa.list_(pa.int64()))],
                 ["doc_id", "n_shingles", "set_id", "bands"])
 
 
 def _prints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """One byte per slot of the short and of the long signature."""
+    """Id of the set and one byte per slot of its short and of its long signature."""
     for batch in batches:
         texts = as_bytes(batch.column("text"))
         for piece in by_bytes(texts, PIECE_BYTES // 16):
             sets = shingle_sets(texts[piece], width)
-            columns = [batch.column("doc_id").slice(piece.start, len(sets))]
+            columns = [batch.column("doc_id").slice(piece.start, len(sets)),
+                       pa.array([_set_id(s) for s in sets], pa.binary())]
             for slots in (SLOTS, LONG_SLOTS):
                 marks = mix(signatures(sets, slots)).astype(np.uint8)
                 columns.append(pa.array([m.tobytes() for m in marks], pa.binary()))
-            yield pa.record_batch(columns, ["node", "short", "long"])
+            yield pa.record_batch(columns, ["node", "set_id", "short", "long"])
 
 
 def _least_equal(slots: int, percent: int) -> float:
@@ -245,8 +249,9 @@ def _tile_pairs(members: DataFrame, nodes: DataFrame, texts: DataFrame, width: i
     rows = stored(members.join(crowded, "bucket"), "rows")
     wanted = rows.select(F.col("node").alias("doc_id")).distinct()
     prints = stored(texts.join(wanted, "doc_id", "left_semi")
-                    .mapInArrow(partial(_prints, width=width), "node long, short binary, long binary")
-                    .dropDuplicates(["node"]).join(nodes.select("node", "size", "bands"), "node"), "prints")
+                    .mapInArrow(partial(_prints, width=width), "node long, set_id binary, short binary, long binary")
+                    .dropDuplicates(["node", "set_id"])
+                    .join(nodes.select("node", "set_id", "size", "bands"), ["node", "set_id"]).drop("set_id"), "prints")
     # Nodes of a bucket are dealt to blocks; a tile is a pair of blocks.
     blocks = F.ceil(F.col("crowd") / F.lit(TILE // 2)).cast("int")
     block = F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")
@@ -254,8 +259,9 @@ def _tile_pairs(members: DataFrame, nodes: DataFrame, texts: DataFrame, width: i
     tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "node", "root", "bucket", "band", F.least("block", "other").alias("low"),
         F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"))
-    filled = tiles.join(prints, "node").repartition("bucket", "low", "high").sortWithinPartitions(
-        "bucket", "low", "high", "side", "node")
+    # A node has several prints if its doc_id is repeated with other texts: only that of the bucket's own set counts.
+    filled = (tiles.join(prints, "node").filter(F.get("bands", "band") == F.col("bucket"))
+              .repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "side", "node"))
     return filled.mapInArrow(partial(_tile, percent=percent), "a long, b long").distinct()
 
 

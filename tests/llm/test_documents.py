@@ -151,6 +151,20 @@ def test_near_duplicates_that_no_pivot_meets(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == want
 
 
+def test_near_duplicates_of_two_texts_of_one_document_in_tiles(spark, monkeypatch):
+    """Each text of the document has a link that only tiles find."""
+    rng = random.Random(19)
+    c = [passage(rng, 200), passage(rng, 300)]
+    d = [altered(t, 3) for t in c]
+    (first, some), (second, more) = (left_for_tiles(rng, *x) for x in zip(c, d))
+    in_buckets(monkeypatch, 8, some + more)
+    rows = [*enumerate([*first, *second, *c]), (10, d[0]), (10, d[1])]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    want, _ = brute_components(rows, 3, 85)
+    assert want[8] == want[9] == want[10] == 8
+    assert [(r.doc_id, r.component_id) for r in found if r.component_id != want[r.doc_id]] == []
+
+
 def test_signature_is_the_minimum_over_random_ranks():
     """The step-wise form equals the plain one, element by element."""
     sets = near_dup.shingle_sets([b"a b c d e f g", b"x", passage(random.Random(1), 900).encode()], 2)
