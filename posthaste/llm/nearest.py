@@ -6,7 +6,8 @@ their inner product: within a segment of ``n`` components it is at most
 ``n * (mean * mean + deviation * deviation)``. Bounds of few long segments are
 computed for all pairs, bounds of shorter ones for those that are left, and
 inner products for what survives both. Where bounds leave too much, the whole
-block is computed instead. Either way the result is exact.
+block is computed instead, as always for vectors without structure, like the
+given ones. Either way the result is exact.
 
 Queries and candidates meet in tiles: a query goes to every stripe of the
 candidates, a candidate to every block of queries; a task holds one block of
