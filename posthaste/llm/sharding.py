@@ -145,7 +145,8 @@ def shard(docs: DataFrame, shards: int | None = 8, capacity: int | None = None,
     """Add ``size`` (UTF-8 bytes and one), ``shard`` and ``slot`` (0, 1, ... in the shard).
 
     Either a fixed number of ``shards`` of the least capacity, or as few shards
-    as best fit needs for a fixed ``capacity``.
+    as best fit needs for a fixed ``capacity``. A capacity that needs more than
+    about 6,400 shards (``100 * PARTS // 64``) raises ValueError.
     """
     if (shards is None) == (capacity is None):
         raise ValueError("give a number of shards or a capacity")
