@@ -930,7 +930,7 @@ def param_search(spark, sf):
          (SELECT count(*) FROM documents) AS scored, true AS in_range FROM n""")
 def train_model(spark, sf):
     place, scored = work_dir(spark, "trained"), work_dir(spark, "inferred")
-    train.train(samples.training(spark, sf), place, n_trials=4, hpo_subsample_size=500)
+    train.train(samples.training(spark, sf), place, hpo_subsample_size=500)
     kept = train.infer(samples.posts(spark, sf), f"{place}/model", scored, min_score=0.0)
     counts = kept.agg(F.count("*").alias("scored"), F.bool_and(F.col(model.PREDICTION).between(0, 1)).alias("in_range"))
     runs = history.load_metadata(spark, f"{place}/runs").select("n_train_val", "n_test", "n_hpo_rows", "seed")
@@ -1034,7 +1034,7 @@ def stream_windows(spark, sf):
 # Scores of a stream are those of one batch with the same model.
 @query(f"WITH {ARRIVALS} SELECT ord, count(*) AS posts, true AS as_in_batch FROM arrivals GROUP BY ord")
 def stream_scores(spark, sf):
-    fitted = model.fit_regressor(_prepared(spark, sf), {"max_iter": 5})
+    fitted = model.fit_regressor(_prepared(spark, sf))
     out, state = work_dir(spark, "scores"), work_dir(spark, "state")
     _, stream = _landing(spark, sf)
     scored = streams.score_stream(stream.select("ord", "text"), fitted)

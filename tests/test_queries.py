@@ -4,6 +4,8 @@ import pytest
 
 import compare
 from compare import contract
+from posthaste.operators import model
+from posthaste.plans import train
 from posthaste.plans.queries import QUERIES
 
 
@@ -25,3 +27,18 @@ def test_entry(spark):
 
 def test_every_sql_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("name, module, job, cut", [("train_model", train, "train", "n_trials"),
+                                                    ("stream_scores", model, "fit_regressor", "max_iter")])
+def test_models_are_fitted_with_the_defaults(spark, sf, monkeypatch, name, module, job, cut):
+    class Called(Exception):
+        pass
+
+    def seen(*args, **named):
+        raise Called(args[1:], named)
+
+    monkeypatch.setattr(module, job, seen)
+    with pytest.raises(Called) as call:
+        QUERIES[name](spark, sf)
+    assert cut not in str(call.value)
