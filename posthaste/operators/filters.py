@@ -136,4 +136,4 @@ def filter_scored(df: DataFrame, min_score: float, column: str = "inferred_rageb
 
 def take_until(df: DataFrame, target: int, existing: int = 0, order: str = "ord") -> DataFrame:
     """The first rows by ``order`` that bring a table of ``existing`` rows to ``target``."""
-    return ranks.cut_at(df, order, max(0, target - existing))[0]
+    return ranks.cut_at(df, ranks.by_column(order), max(0, target - existing))[0]

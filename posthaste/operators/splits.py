@@ -1,7 +1,9 @@
 """Splits, samples and chunks with exact sizes.
 
 Each split looks up the order keys at its cut ranks and compares rows with
-them. The rows themselves are neither sorted nor shuffled.
+them. The rows themselves are neither sorted nor shuffled. Sizes are exact
+whatever the keys: rows that share a key, NULL too, are told apart by a digest
+of the whole row, and equal rows are divided by number.
 """
 
 from __future__ import annotations
@@ -20,42 +22,32 @@ FOLDS = 3
 SEED = 42
 
 
-def _cut(df: DataFrame, order: ranks.RowOrder, n: int, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
-    [key] = ranks.keys_at(df, order, [n], rows)
-    late = order.at_or_after(key)
-    return df.filter(~late), df.filter(late)
-
-
 def split_at(df: DataFrame, n: int = BATCH_ROWS, order: str = "ord") -> tuple[DataFrame, DataFrame]:
     """The first ``n`` rows and the rest; NULL order keys come last."""
-    return ranks.cut_at(df, order, n)
+    return ranks.cut_at(df, ranks.by_column(order), n)
 
 
 def holdout(df: DataFrame, test_size: float = TEST_SHARE, seed: int = SEED,
             key: str = "ord") -> tuple[DataFrame, DataFrame]:
     """(train, test) by seeded order; the test part has ceil(n * test_size) rows."""
     rows = df.count()
-    test, train = _cut(df, ranks.seeded(seed, key), math.ceil(rows * test_size), rows)
+    test, train = ranks.cut_at(df, ranks.seeded(seed, key), math.ceil(rows * test_size), rows)
     return train, test
 
 
 def sample_n(df: DataFrame, n: int, seed: int = SEED, key: str = "ord") -> DataFrame:
     """``n`` rows drawn without replacement; all rows when there are fewer."""
-    return _cut(df, ranks.seeded(seed, key), n)[0]
+    return ranks.cut_at(df, ranks.seeded(seed, key), n)[0]
 
 
 def kfold(df: DataFrame, k: int = FOLDS, seed: int = SEED, key: str = "ord") -> DataFrame:
     """Add ``fold`` in 0..k-1; the first n mod k folds get one row more."""
-    order = ranks.seeded(seed, key)
     rows = df.count()
     base, extra = divmod(rows, k)
     if not base:
         raise ValueError(f"cannot make {k} folds of {extra} rows")
     starts = [i * base + min(i, extra) for i in range(1, k)]
-    fold = F.lit(0)
-    for cut in ranks.keys_at(df, order, starts, rows):
-        fold = fold + order.at_or_after(cut).cast("int")
-    return df.withColumn("fold", fold)
+    return ranks.with_part(df, ranks.seeded(seed, key), starts, "fold", rows)
 
 
 def assign_chunks(df: DataFrame, size: int = CHUNK_ROWS, order: str = "ord") -> DataFrame:
@@ -66,7 +58,7 @@ def assign_chunks(df: DataFrame, size: int = CHUNK_ROWS, order: str = "ord") ->
 
 
 def seeded_shuffle(df: DataFrame, seed: int = SEED, key: str = "ord") -> DataFrame:
-    return df.orderBy(*ranks.seeded(seed, key).columns)
+    return df.orderBy(ranks.seeded(seed, key).column, ranks.row_digest(df))
 
 
 def fold_pairs(df: DataFrame, k: int = FOLDS) -> DataFrame:

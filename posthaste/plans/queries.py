@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -429,6 +430,37 @@ def kfold_assign(spark, sf):
     return splits.kfold(samples.posts(spark, sf)).select("ord", F.col("fold").cast("long").alias("fold"))
 
 
+# A third of the rows share a key, others have none, and many are equal in all columns.
+_TIED = f"""{POSTS}, tied AS (SELECT CASE WHEN ord % 3 = 0 THEN 1 WHEN ord % 7 > 0 THEN floor(ord / 4) END AS key,
+    ord % 2 AS half FROM posts),
+  r AS (SELECT key, row_number() OVER (ORDER BY md5(concat_ws(':', '42', CAST(CAST(key AS BIGINT) AS VARCHAR)))) AS nth,
+    count(*) OVER () AS n FROM tied)"""
+
+
+def _tied(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.when(F.col("ord") % 3 == 0, F.lit(1)).when(F.col("ord") % 7 > 0, F.floor(F.col("ord") / 4))
+    return samples.posts(spark, sf).select(key.cast("long").alias("key"), (F.col("ord") % 2).alias("half"))
+
+
+@query(f"""WITH {_TIED}, f AS (SELECT key, CASE WHEN nth <= (n // 3 + 1) * (n % 3) THEN (nth - 1) // (n // 3 + 1)
+    ELSE n % 3 + (nth - 1 - (n // 3 + 1) * (n % 3)) // (n // 3) END AS fold FROM r)
+  SELECT CAST(key AS BIGINT) AS key, CAST(fold AS BIGINT) AS fold, count(*) AS n_rows FROM f GROUP BY key, fold""")
+def kfold_ties(spark, sf):
+    return (splits.kfold(_tied(spark, sf), key="key").groupBy("key", F.col("fold").cast("long").alias("fold"))
+            .agg(F.count("*").alias("n_rows")))
+
+
+@query(f"""WITH {_TIED}, p AS (SELECT key, CASE WHEN nth <= ceil(n * 5e-2) THEN 'test' ELSE 'train' END AS part FROM r
+    UNION ALL SELECT key, 'drawn' FROM r WHERE nth <= 120)
+  SELECT CAST(key AS BIGINT) AS key, part, count(*) AS n_rows FROM p GROUP BY key, part""")
+def sample_ties(spark, sf):
+    rows = _tied(spark, sf)
+    train, test = splits.holdout(rows, key="key")
+    parts = {"train": train, "test": test, "drawn": splits.sample_n(rows, 120, key="key")}
+    named = [df.select("key", F.lit(name).alias("part")) for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, named).groupBy("key", "part").agg(F.count("*").alias("n_rows"))
+
+
 @query(f"WITH {POSTS} SELECT ord, text FROM posts ORDER BY md5('42:' || ord), ord LIMIT 298")
 def pilot_sample(spark, sf):
     return splits.sample_n(samples.posts(spark, sf), 298).select("ord", "text")
@@ -895,20 +927,26 @@ def fit_and_score(spark, sf):
                         (F.abs(F.col(model.PREDICTION) - F.col("first")) < 1e-12).alias("same_after_reload"))
 
 
-# Metrics of every fold; a fitted model must beat the mean of the scores it learned from.
-@query(f"""WITH {_UNIQUE_TRAINING}, f AS (SELECT ntile(3) OVER (ORDER BY md5('42:' || ord), ord) - 1 AS fold FROM prepared)
-  SELECT fold, count(*) AS n_rows, true AS beats_mean FROM f GROUP BY fold""")
+# Rows and metrics of every fold. A model without features is among those that a fit may return, so on
+# the rows it learned from no fitted model has a greater loss than the best constant, the SQL's figure.
+@query(f"""WITH {_UNIQUE_TRAINING}, f AS (SELECT score, ntile(3) OVER (ORDER BY md5('42:' || ord), ord) - 1 AS fold FROM prepared),
+  m AS (SELECT i AS fold, avg(score) AS s FROM f, range(3) r(i) WHERE fold <> i GROUP BY i)
+  SELECT fold, count(*) AS n_rows, true AS metrics_hold, true AS loss_bounded,
+    any_value(round(-(s * ln(s) + (1 - s) * ln(1 - s)), 6)) AS constant_loss FROM f JOIN m USING (fold) GROUP BY fold""")
 def cross_validation(spark, sf):
-    folded = splits.kfold(_prepared(spark, sf))
-    # Enough pull towards the mean for the few rows of the small test tables.
-    found = model.cross_validate(folded, {"reg_param": 0.1})
-    sums = folded.groupBy("fold").agg(F.count("*").alias("n_rows"), F.sum("score").alias("total"))
-    everything = folded.agg(F.count("*").alias("all_rows"), F.sum("score").alias("all_total")).first()
-    others = (F.lit(everything["all_total"]) - F.col("total")) / (F.lit(everything["all_rows"]) - F.col("n_rows"))
-    guess = (folded.join(sums, "fold").groupBy("fold", "n_rows")
-             .agg(F.avg(F.abs(F.col("score") - others)).alias("plain")))
-    return found.join(guess, "fold").select(
-        F.col("fold").cast("long").alias("fold"), "n_rows", (F.col("mae") < F.col("plain")).alias("beats_mean"))
+    folded = tables.stored(splits.kfold(_prepared(spark, sf)), "folded")
+    found = model.cross_validate(folded)
+    learned = tables.stored(model.training_scores(folded), "learned")
+    p, s = F.col(model.PREDICTION), F.col("score")
+    loss = F.avg(-(s * F.log(p) + (1 - s) * F.log(1 - p)))
+    mean = F.avg("score")
+    constant = -(mean * F.log(mean) + (1 - mean) * F.log(1 - mean))
+    fits = learned.groupBy("fold").agg(constant.alias("constant"), (loss <= constant + 1e-9).alias("loss_bounded"))
+    holds = F.col("mae").between(0, 1) & (F.abs(F.col("rmse") * F.col("rmse") - F.col("mse")) < 1e-9) & (
+        F.col("mae") <= F.col("rmse") + 1e-9) & F.col("spearman").between(-1.000001, 1.000001)
+    return (found.join(fits, "fold").join(folded.groupBy("fold").agg(F.count("*").alias("n_rows")), "fold")
+            .select(F.col("fold").cast("long").alias("fold"), "n_rows", holds.alias("metrics_hold"), "loss_bounded",
+                    F.round("constant", 6).alias("constant_loss")))
 
 
 # Every trial of the default space meets every fold with the parameters that the seed draws.

@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -131,9 +132,10 @@ def test_cuts_keep_every_row(spark):
         assert filters.take_until(rows, n + 2, 2).count() == min(n, 6)
     assert sorted(r["chunk_id"] for r in splits.assign_chunks(rows, 4).collect()) == [0, 0, 0, 0, 1, 1]
     equal = spark.createDataFrame([(1, "a"), (1, "a"), (2, "d")], "ord long, t string")
-    with pytest.raises(ValueError, match="equal"):
-        splits.split_at(equal, 1)
-    assert splits.split_at(equal, 2)[0].count() == 2
+    for n in range(4):
+        head, rest = splits.split_at(equal, n)
+        assert sorted(r["t"] for r in head.collect()) == list("aad")[:n]
+        assert sorted(r["t"] for r in rest.collect()) == list("aad")[n:]
 
 
 def test_positions_by_columns_of_any_type(spark):
@@ -201,14 +203,52 @@ def test_rank_lookup_narrows_down(spark, monkeypatch):
     # A third of the range holds nearly all keys.
     rows = spark.range(2000).select(F.when(F.col("id") < 1900, F.col("id")).otherwise(F.col("id") * 10**9).alias("k"))
     ordered = sorted(r["k"] for r in rows.collect())
-    found = ranks.keys_at(rows, ranks.by_column("k"), [0, 1, 777, 1899, 1900, 1999, 2000, -1])
-    assert [f and f[0] for f in found[:6]] == [ordered[i] for i in (0, 1, 777, 1899, 1900, 1999)]
-    assert found[6:] == [None, None]
+    found = ranks._keys_at(rows, ranks.by_column("k"), [0, 1, 777, 1899, 1900, 1999, 2000, -1], 2000)
+    assert {r: (f.key, f.first, f.equal) for r, f in found.items()} == {
+        i: (ordered[i], i, 1) for i in (0, 1, 777, 1899, 1900, 1999)}
     same = spark.range(200).select(F.lit(1).alias("k"))
-    # A key that all rows share is every rank's key; the rows themselves cannot be told apart.
-    assert ranks.keys_at(same, ranks.by_column("k"), [5])[0][0] == 1
-    with pytest.raises(ValueError, match="equal"):
-        ranks.cut_at(same, "k", 5)
+    assert [part.count() for part in ranks.cut_at(same, ranks.by_column("k"), 5)] == [5, 195]
+    # Longs that differ by less than a double can tell, and a value of a third of all rows.
+    near = spark.range(600).select((F.lit(2 ** 60) + F.floor(F.col("id") / 3)).alias("k"), "id")
+    hot = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("k"), "id")
+    for rows in (near, hot):
+        ids = []
+        for n in (1, 100, 299, 450, 599):
+            head, rest = (part.collect() for part in ranks.cut_at(rows, ranks.by_column("k"), n))
+            assert len(head) == n and len(rest) == 600 - n
+            last = lambda r: (r["k"] is None, r["k"] or 0)
+            assert max(map(last, head)) <= min(map(last, rest))
+            ids.append({r["id"] for r in head})
+        assert all(a < b for a, b in zip(ids, ids[1:]))
+
+
+@pytest.mark.parametrize("keys", [[1, 1, 1, 1, 5, 6], [None, None, 1, 2, 3], [7] * 5, [None] * 4])
+@pytest.mark.parametrize("apart", [True, False])
+def test_sizes_with_tied_keys(spark, keys, apart):
+    rows = spark.createDataFrame([(k, i if apart else 0) for i, k in enumerate(keys)], "ord long, x long")
+    listed = sorted(rows.collect(), key=str)
+    folds = splits.kfold(rows, 3)
+    assert folds.columns == ["ord", "x", "fold"]
+    assert sorted((r[:2] for r in folds.collect()), key=str) == sorted((tuple(r) for r in listed), key=str)
+    sizes = [r["count"] for r in folds.groupBy("fold").count().orderBy("fold").collect()]
+    assert sizes == [len(keys) // 3 + (i < len(keys) % 3) for i in range(3)]
+    assert splits.sample_n(rows, 2).count() == 2 and splits.sample_n(rows, 9).count() == len(keys)
+    train, test = splits.holdout(rows, 0.4)
+    assert test.count() == math.ceil(0.4 * len(keys))
+    assert sorted(train.unionByName(test).collect(), key=str) == listed
+
+
+def test_hot_order_keys_fill_several_ranges(spark):
+    for value in (0, None):
+        hot = spark.range(9000).select(F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(F.lit(value)).alias("k"), "id")
+        placed = ranks.with_ordinal(hot, ranks.by_column("k"), "o", 300)
+        rows = placed.orderBy("o").collect()
+        assert [r["o"] for r in rows] == list(range(9000))
+        keys = [(r["k"] is None, r["k"] or 0) for r in rows]
+        assert keys == sorted(keys)
+        bounds, parts = ranks._split_bounds(hot.select(ranks.by_column("k").positions[0].alias("_at")),
+                                            ranks.by_column("k"), 9000, 30)
+        assert max(parts) >= 9 and len(bounds) + 1 == len(parts)
 
 
 @pytest.mark.parametrize("n", [3, 4, 5, 1000])
