@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posthaste.llm import (
-    decontaminate, language, licenses, mixing, near_dup, nearest, quality, secrets, sharding, url_filter)
+    decontaminate, importance, language, licenses, mixing, near_dup, nearest, quality, secrets, sharding, url_filter)
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -63,6 +63,10 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -70,9 +74,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_shards, op3_url_rules, op4_contamination, op5_licenses, op6_quality,
-    op7_language, op8_top_inner_products, op9_secrets, op10_mixture, pipeline)}
+    op7_language, op8_top_inner_products, op9_secrets, op10_mixture, op12_importance, pipeline)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all(coalesce({_LOWER.format('text')}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _URL_RULES = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)
 
 # Operators that are trained, packed or scheduled, or need checksums, have no SQL; tests hold
@@ -140,6 +145,40 @@ SQL = {
                sha256(coalesce(items, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN hit USING (line) LEFT JOIN items USING (line)""",
+    # CRC-32 by a table of 256 entries, over the bytes of each distinct word.
+    "op12_importance": f"""
+        WITH crcs AS (
+            SELECT list(list_reduce(list_prepend(b, range(8)),
+                                    lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY b) AS k
+            FROM range(256) t(b)),
+        d AS (SELECT row_number() OVER () AS line, doc_id, {_WORDS} AS w FROM documents),
+        b AS (SELECT unnest({_WORDS}) AS g FROM benchmark),
+        f AS (SELECT line, unnest(w) AS g FROM d),
+        words AS (SELECT g, hex(encode(g)) AS h FROM (SELECT g FROM f UNION SELECT g FROM b)),
+        place AS (
+            SELECT g, xor(list_reduce(
+                list_prepend(4294967295, list_transform(range(0, len(h) // 2),
+                    lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+                lambda c, x: xor(c >> 8, k[CAST(xor(c, x) & 255 AS BIGINT) + 1])), 4294967295) % 10000 AS bucket
+            FROM words, crcs),
+        s AS (SELECT bucket, count(*) AS s FROM f JOIN place USING (g) GROUP BY 1),
+        t AS (SELECT bucket, count(*) AS t FROM b JOIN place USING (g) GROUP BY 1),
+        gain AS (
+            SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * CAST((SELECT count(*) FROM f) + 10000 AS DOUBLE)
+                / ((s + 1) * CAST((SELECT count(*) FROM b) + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+            FROM s LEFT JOIN t USING (bucket)),
+        weights AS (SELECT line, sum(gain) AS weight FROM f JOIN place USING (g) JOIN gain USING (bucket) GROUP BY 1),
+        scored AS (
+            SELECT line, doc_id, len(w) AS n, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                   CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8)
+                       AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+            FROM d LEFT JOIN weights USING (line)),
+        ranked AS (
+            SELECT line, row_number() OVER (ORDER BY score DESC, doc_id, n, weight) AS place, count(*) OVER () AS able
+            FROM scored WHERE n >= 20)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score,
+               CASE WHEN place <= 10 * able // 100 THEN place END AS rank
+        FROM scored LEFT JOIN ranked USING (line)""",
     "op8_top_inner_products": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
