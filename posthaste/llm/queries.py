@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posthaste.llm import (
-    decontaminate, importance, language, licenses, mixing, near_dup, nearest, quality, secrets, sharding, url_filter)
+    clustering, decontaminate, importance, language, licenses, mixing, near_dup, nearest, quality, secrets, sharding, url_filter)
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -67,6 +67,11 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, centroids, _ = clustering.clustered(table(spark, sf_dir, "embeddings"), k=16, rounds=3, seed=1)
+    return clustering.with_totals(placed, centroids)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -74,12 +79,30 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_shards, op3_url_rules, op4_contamination, op5_licenses, op6_quality,
-    op7_language, op8_top_inner_products, op9_secrets, op10_mixture, op12_importance, pipeline)}
+    op7_language, op8_top_inner_products, op9_secrets, op10_mixture, op12_importance, op13_clusters, pipeline)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all(coalesce({_LOWER.format('text')}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _URL_RULES = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in URL_RULES)
 
+_DISTANCE = "list_sum(list_transform(range(1, 65), lambda i: (x[i] - y[i]) * (x[i] - y[i])))"
+
+
+def _rounds(rounds: int) -> str:
+    """Assignment a0 to the centroids c0, the means c1 of its clusters, and so on to a<rounds>."""
+    parts = []
+    for r in range(rounds + 1):
+        if r > 0:
+            parts.append(f"""c{r} AS (
+                SELECT c, coalesce(m.y, o.y) AS y FROM c{r - 1} o LEFT JOIN (
+                    SELECT c, list(f ORDER BY i) AS y FROM (
+                        SELECT c, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS f
+                        FROM a{r - 1} JOIN v USING (line), range(1, 65) t(i) GROUP BY c, i) GROUP BY c) m USING (c))""")
+        parts.append(f"""a{r} AS (
+            SELECT line, arg_min(c, {_DISTANCE} * 16 + c) AS c, min({_DISTANCE}) AS d FROM v, c{r} GROUP BY line)""")
+    return ", ".join(parts)
+
+
 # Operators that are trained, packed or scheduled, or need checksums, have no SQL; tests hold
 # them against plain versions.
 SQL = {
@@ -179,6 +202,22 @@ SQL = {
         SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score,
                CASE WHEN place <= 10 * able // 100 THEN place END AS rank
         FROM scored LEFT JOIN ranked USING (line)""",
+    "op13_clusters": f"""
+        WITH v AS (
+            SELECT row_number() OVER () AS line, vec_id,
+                   list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS (
+            SELECT nth - 1 AS c, x AS y FROM (
+                SELECT x, row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) AS nth
+                FROM v)
+            WHERE nth <= 16),
+        {_rounds(3)}
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+               CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(y, ',')) AS centroid_sha256
+        FROM a3 JOIN v USING (line) JOIN c3 USING (c)""",
     "op8_top_inner_products": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
