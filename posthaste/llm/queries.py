@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posthaste.llm import (
-    clustering, decontaminate, importance, language, licenses, mixing, near_dup, nearest, quality, secrets, sharding, url_filter)
+    clustering, decontaminate, importance, language, licenses, mixing, near_dup, nearest, personal, quality, secrets, sharding, url_filter)
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
@@ -63,6 +63,10 @@ def op10_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.scan(table(spark, sf_dir, "documents"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -79,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_shards, op3_url_rules, op4_contamination, op5_licenses, op6_quality,
-    op7_language, op8_top_inner_products, op9_secrets, op10_mixture, op12_importance, op13_clusters, pipeline)}
+    op7_language, op8_top_inner_products, op9_secrets, op10_mixture, op11_personal, op12_importance, op13_clusters, pipeline)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all(coalesce({_LOWER.format('text')}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
