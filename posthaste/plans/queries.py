@@ -1029,7 +1029,7 @@ def stream_ingest_restarted(spark, sf):
 def stream_dedupe(spark, sf):
     out, state = work_dir(spark, "unique"), work_dir(spark, "state")
     stream = _event_landing(spark, sf)
-    timed = stream.withColumn("created_ts", clock.parse_created_at(F.col("created_at")))
+    timed = stream.select("tweet_id", "likes", "arrival", clock.parse_created_at(F.col("created_at")).alias("created_ts"))
     unique = streams.dedupe_stream(timed, "60 days", order=["arrival"]).select("tweet_id", "likes", "arrival")
     streams.to_parquet(unique, out, state).awaitTermination()
     return spark.read.schema("tweet_id string, likes long, arrival int").parquet(out)

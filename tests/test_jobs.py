@@ -2,6 +2,8 @@
 
 import os
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,6 +242,32 @@ def test_stream_keeps_the_first_copy_of_a_batch(spark, folder):
     assert found == {("b", 60), (None, 70)}
 
 
+def test_first_copies_of_a_task_in_batches_of_any_size(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [{"k": None if k == 3 else f"k{k}", "a": None if a == 4 else int(a), "v": v}
+            for v, (k, a) in enumerate(rng.integers(0, 9, (500, 2)))]
+    last = {}
+    for row in rows:
+        order = (row["a"] is None, row["a"] or 0)
+        if row["k"] not in last or order < last[row["k"]]:
+            last[row["k"]] = order
+    for held in (1, 7, 100_000):
+        monkeypatch.setattr(streams, "HELD_ROWS", held)
+        batches = [pa.RecordBatch.from_pylist(rows[i:i + 13]) for i in range(0, 500, 13)]
+        found = [r for b in streams._first_copies(iter(batches), "k", ["a"]) for r in b.to_pylist()]
+        assert {r["k"]: (r["a"] is None, r["a"] or 0) for r in found} == last and len(found) == len(last)
+    assert list(streams._first_copies(iter([]), "k", ["a"])) == []
+
+
+def test_stream_dedupe_calls_no_python_per_id(spark, sf, folder):
+    samples.arrivals(spark, sf).select(*LANDED).write.parquet(f"{folder}/landing")
+    stream = streams.landing_stream(spark, f"{folder}/landing", spark.read.parquet(f"{folder}/landing").schema)
+    timed = stream.withColumn("created_ts", F.col("created_at").cast("timestamp"))
+    unique = streams.dedupe_stream(timed, "10 days", order=["arrival", "ord"])
+    text = unique._jdf.queryExecution().analyzed().toString()
+    assert "DeduplicateWithinWatermark" in text and "FlatMapGroups" not in text
+
+
 def test_commits_do_not_grow_with_chunks(spark, folder, monkeypatch):
     monkeypatch.setattr(annotate, "MAX_RUNS", 3)
     rows = spark.range(120).selectExpr("id as ord", "concat('text ', id) as text")
