@@ -273,20 +273,20 @@ def keyword_search(spark, sf):
   best AS (SELECT tweet_id, key, min(k) AS k FROM searched JOIN one ON contains(lower(text), needle) GROUP BY ALL)
   SELECT tweet_id, key AS ord, k.keyword AS query_source FROM best""")
 def keyword_search_many(spark, sf):
-    return _search_benchmark(spark, sf, keywords.BLOCK_KEYWORDS)
+    return _search_benchmark(spark, sf)
 
 
-# The same with so small blocks that there are several.
+# The same with anchors that are shuffled, as those of very many keywords are.
 @query(SQL["keyword_search_many"])
 def keyword_search_joined(spark, sf):
-    return _search_benchmark(spark, sf, 500)
+    return _search_benchmark(spark, sf, "merge")
 
 
-def _search_benchmark(spark, sf, block: int) -> DataFrame:
+def _search_benchmark(spark, sf, strategy: str | None = None) -> DataFrame:
     words = samples.table(spark, sf, "benchmark").select(
         F.col("item_id").alias("kw_id"), F.explode(F.split("text", " ")).alias("keyword"))
     posts = samples.posts(spark, sf).withColumn("ord", F.when(F.col("ord") % 3 > 0, F.floor(F.col("ord") / 4)))
-    found = keywords.keyword_candidates(posts, words, RULES, block_keywords=block)
+    found = keywords.keyword_candidates(posts, words, RULES, strategy=strategy)
     return found.select("tweet_id", "ord", "query_source")
 
 

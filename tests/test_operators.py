@@ -88,9 +88,11 @@ def test_range_is_checked_before_duplicates_go(spark):
         training.prepare_training(edges.drop("score"))
 
 
-def test_keywords_equal_brute_force_in_blocks_of_any_size(spark):
-    texts = ["Climate Change is here", "climate", "the CHANGE of heart", "xx", None, "a b", "tax taxes", "ΑΒΓ Climate"]
-    words = ["change", "climate change", "tax", "b", "heart", "αβγ", "climate", "", "zzzzzzzz"]
+def test_keywords_equal_brute_force(spark, monkeypatch):
+    texts = ["Climate Change is here", "climate", "the CHANGE of heart", "xx", None, "a b", "tax taxes", "ΑΒΓ Climate",
+             "x" * 60 + "line\nbreak 😀 emoji", "", "😀😀 emoji"]
+    words = ["change", "climate change", "tax", "b", "heart", "αβγ", "climate", "", "zzzzzzzz", "xline\nbreak", "😀 emo",
+             "  ", " of", "the change "]
     rows = spark.createDataFrame(
         [(i, t, "en", 20, "2026-02-01 00:00:00") for i, t in enumerate(texts)],
         "ord long, text string, lang string, likes long, created_ts string").withColumn(
@@ -98,8 +100,9 @@ def test_keywords_equal_brute_force_in_blocks_of_any_size(spark):
     table = spark.createDataFrame(list(enumerate(words)), "kw_id int, keyword string")
     expected = {i: next(w for w in words if w and w in t.lower()) for i, t in enumerate(texts)
                 if t and any(w and w in t.lower() for w in words)}
-    for block in (1, 3, keywords.BLOCK_KEYWORDS):
-        found = keywords.keyword_candidates(rows, table, block_keywords=block)
+    for size in (2, 4):
+        monkeypatch.setattr(keywords, "ANCHOR", size)
+        found = keywords.keyword_candidates(rows, table)
         assert {r["ord"]: r["query_source"] for r in found.collect()} == expected
     assert keywords.keyword_candidates(rows, table.filter("false")).count() == 0
 
@@ -110,8 +113,8 @@ def test_keywords_with_repeated_and_missing_keys(spark):
         "*", "'en' as lang", "20 as likes", "timestamp'2026-02-01' as created_ts")
     table = spark.createDataFrame([(1, "then"), (1, "House"), (0, "x3"), (None, "x"), (2, ""), (3, None), (5, "THEN")],
                                   "kw_id long, keyword string")
-    for block in (1, 100):
-        found = keywords.keyword_candidates(rows, table, block_keywords=block).collect()
+    for strategy in (None, "merge"):
+        found = keywords.keyword_candidates(rows, table, strategy=strategy).collect()
         assert sorted(((r["ord"], r["text"], r["query_source"]) for r in found), key=str) == [
             (1, "A House then", "House"), (1, "x3", "x3"), (1, "x3", "x3"), (None, "x then", "then")]
 
