@@ -6,8 +6,8 @@ are taken apart into words, words that are anchors are kept by a hash join, and
 only there the whole window is compared with the document. As words and windows
 are compared themselves, not their hashes, there are no false hits.
 
-The windows are broadcast if there are at most ``MAX_BROADCAST``; more of them
-meet the words of the documents by a shuffle, for the same result. A common
+The windows are broadcast if they take at most ``MAX_BROADCAST_BYTES`` with the
+ids of their items, whatever their number; larger ones meet the words of the documents by a shuffle, for the same result. A common
 anchor is then split by Spark's adaptive skew join.
 
 Words are runs of letters a-z, digits and characters beyond ASCII; only A-Z are
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from posthaste.sources.tables import stored
 
 WIDTH = 13
-# A window of 13 words takes about 200 bytes, so at most about 40 MB are broadcast.
-MAX_BROADCAST = 200_000
+MAX_BROADCAST_BYTES = 64 << 20
+# What a row takes for a string besides its bytes.
+STRING_BYTES = 16
 # Words as they are written, and what stands between them.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -73,11 +74,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
     # A-Z alone are lower-cased, here and in windows: what becomes of other letters can depend on their neighbours.
     told = docs.select("doc_id", F.xxhash64("text").alias("text_hash"),
                        words(lower_ascii(F.col("text"))).alias("all"))
-    if found.count() <= MAX_BROADCAST:
+    if _bytes(found) <= MAX_BROADCAST_BYTES:
         return _hits_by_broadcast(told, sought)
     return _hits_by_shuffle(told, sought)
 
 
+def _bytes(found: DataFrame) -> int:
+    """The size of all windows, each with its words, its anchor and its items."""
+    said = [F.octet_length(F.array_join(c, "")) + STRING_BYTES * F.size(c) for c in ("words", "items")]
+    one = said[0] + said[1] + F.octet_length("anchor") + STRING_BYTES
+    return found.agg(F.coalesce(F.sum(one.cast("long")), F.lit(0))).first()[0]
+
+
 def _alike(begin: Column, window: Column) -> Column:
     """Whether the window's words stand from the ``begin``-th word on."""
     said = F.slice("all", F.greatest(begin, F.lit(1)), F.size(window["words"]))

@@ -151,10 +151,12 @@ def scan_text(raw: bytes) -> tuple:
     listed = raw.translate(_NORMAL).split()
     joined = f" {b' '.join(listed).decode('latin-1')} "
     base, extra, scores, places, tags = set(), set(), [], [], False
+    blanks = upto = 0
     for end, phrase in _automaton().iter(joined):
         if phrase in BASE:
-            start = end - len(phrase) - 1
-            places.append(joined.count(" ", 0, start))
+            # Blanks are counted from the last hit on; each word of the phrase has one before it.
+            blanks, upto = blanks + joined.count(" ", upto, end), end
+            places.append(blanks - phrase.count(" ") - 1)
             base.add(BASE[phrase])
             scores.append(freedom(BASE[phrase]))
         elif phrase == TAG:

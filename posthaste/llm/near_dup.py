@@ -34,7 +34,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from posthaste.llm.components import components
@@ -283,9 +283,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = stored(profile.select("doc_id", "n_shingles", "set_id")
                    .join(nodes.select("set_id", "node"), "set_id", "left")
                    .select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")), "named")
-    # A repeated doc_id with different texts ties their nodes together.
-    links = [stored(named.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a"))
-                    .filter("doc_id is not null and a != b").select("a", "b"), "links")]
+    # A repeated doc_id with different texts ties all their nodes to the smallest of them.
+    several = (named.filter("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("a"))
+               .filter("a != b").select("doc_id", "b"))
+    links = [stored(named.join(several, "doc_id").filter("node != b")
+                    .select(F.col("node").alias("a"), "b").distinct(), "links")]
 
     placed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     crowded = stored(placed.groupBy("bucket").agg(F.count("*").alias("crowd")).filter("crowd > 1"), "crowded")
@@ -329,11 +331,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def without_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; one row of a repeated doc_id.
+    """The rows of ``docs`` that are kept, with all their columns; of a repeated
+    doc_id the row whose text has the smallest digest, a null text last.
 
     Rows without doc_id cannot be told apart, so they all stay.
     """
     kept = near_duplicates(docs, width, percent).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
     named = docs.filter("doc_id is not null")
-    once = (named.join(kept, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    placed = Window.partitionBy("doc_id").orderBy(F.md5(F.encode("text", "UTF-8")).asc_nulls_last(),
+                                                  F.xxhash64(*docs.columns))
+    once = (named.join(kept, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+            .withColumn("_nth", F.row_number().over(placed)).filter("_nth = 1").drop("_nth"))
     return once.unionByName(docs.filter("doc_id is null"))

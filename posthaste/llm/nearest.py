@@ -5,9 +5,10 @@ segments follows a lower bound of their distance, which is an upper bound of
 their inner product: within a segment of ``n`` components it is at most
 ``n * (mean * mean + deviation * deviation)``. Bounds of few long segments are
 computed for all pairs, bounds of shorter ones for those that are left, and
-inner products for what survives both. Where bounds leave too much, the whole
-block is computed instead, as always for vectors without structure, like the
-given ones. Either way the result is exact.
+only what survives all levels is scored by its inner product. The first few
+candidates of a tile are scored as they are, to have something to compare
+bounds with. Where many pairs of a block are left they are taken by a matrix
+product of the block, of which only the survivors count. The result is exact.
 
 Queries and candidates meet in tiles: a query goes to every stripe of the
 candidates, a candidate to every block of queries; a task holds one block of
@@ -34,11 +35,12 @@ from pyspark.sql import functions as F
 # Queries that a task holds at once, and candidates of one stripe.
 BLOCK_QUERIES = 1024
 STRIPE_ROWS = 65_536
-# Candidates compared at once.
+# Candidates compared at once, and the first of a tile, which set the first thresholds.
 STEP = 4096
+FIRST_STEP = 256
 # Segments of the levels, for vectors that are long enough.
-LEVELS = (4, 16)
-# Share of pairs beyond which a block of pairs is computed whole.
+LEVELS = (4, 16, 48)
+# Share of pairs from which on a matrix product of the block is the faster way to their bounds or scores.
 DENSE = 0.05
 
 
@@ -68,6 +70,7 @@ class _Best:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         self.ids, self.vectors, self.k = ids, vectors, k
+        self.scored = 0
         self.scores = np.zeros((len(ids), 0), dtype=vectors.dtype)
         self.found = np.zeros((len(ids), 0), dtype=np.int64)
         self.levels = ([summary(vectors, n) for n in LEVELS if n < vectors.shape[1]]
@@ -96,15 +99,14 @@ class _Best:
         return -np.inf if self.scores.dtype == np.float64 else -(1 << 200)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        full = self.scores.shape[1] == self.k
-        if full and self.levels:
-            least = self.scores[:, -1]
-            pairs = self._survivors(vectors, least)
-        else:
-            pairs = None
-        if pairs is None:
+        """Candidates that may be among the best of some query."""
+        other = self.ids[:, None] != ids[None, :]
+        if self.scores.shape[1] == self.k and self.levels:
+            other &= self._survivors(vectors, self.scores[:, -1])
+        self.scored += int(other.sum())
+        if self.scores.dtype != np.float64 or other.mean() > DENSE:
             scores = self.vectors @ vectors.T
-            scores[self.ids[:, None] == ids[None, :]] = self.none
+            scores[~other] = self.none
             if scores.shape[1] > self.k and scores.dtype == np.float64:
                 # Ties at the edge all go on, so that the smaller id can win.
                 edge = np.partition(scores, -self.k, axis=1)[:, -self.k]
@@ -115,30 +117,29 @@ class _Best:
                 names = np.broadcast_to(ids, scores.shape)
             self.take(np.arange(len(self.ids)), scores, names)
             return
-        query, row = pairs
+        query, row = np.nonzero(other)
         scores = np.einsum("ij,ij->i", self.vectors[query], vectors[row])
-        fine = (scores >= self.scores[query, -1]) & (self.ids[query] != ids[row])
+        full = self.scores.shape[1] == self.k
+        fine = scores >= self.scores[query, -1] if full else np.ones(len(scores), dtype=bool)
         for q in np.unique(query[fine]):
             mine = fine & (query == q)
             self.take(np.array([q]), scores[mine][None, :], ids[row[mine]][None, :])
 
-    def _survivors(self, vectors: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-        """Pairs whose bound reaches the k-th best score; None if there are too many."""
-        query = row = None
+    def _survivors(self, vectors: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which pairs' bounds reach the k-th best score at every level."""
+        going = np.ones((len(self.ids), len(vectors)), dtype=bool)
+        # Rounding must not lose a pair.
+        needed = least - np.abs(least) * 1e-9 - 1e-6
         for mine, segments in zip(self.levels, LEVELS):
             theirs = summary(vectors, segments)
-            if query is None:
+            if going.mean() > DENSE:
                 bounds = mine @ theirs.T
-                # Rounding must not lose a pair.
-                going = bounds * (1 + 1e-9) + 1e-6 >= least[:, None] - np.abs(least[:, None]) * 1e-9
-                if going.mean() > DENSE:
-                    return None
-                query, row = np.nonzero(going)
+                going &= bounds + np.abs(bounds) * 1e-9 >= needed[:, None]
             else:
+                query, row = np.nonzero(going)
                 bounds = np.einsum("ij,ij->i", mine[query], theirs[row])
-                going = bounds * (1 + 1e-9) + 1e-6 >= least[query] - np.abs(least[query]) * 1e-9
-                query, row = query[going], row[going]
-        return query, row
+                going[query, row] = bounds + np.abs(bounds) * 1e-9 >= needed[query]
+        return going
 
 
 def _matrix(batch: pa.RecordBatch, dim: int) -> np.ndarray:
@@ -166,7 +167,8 @@ def _tile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         start = 0
         while start < len(tiles):
             end = start
-            while end < len(tiles) and tiles[end] == tiles[start] and end - start < STEP:
+            first = best is None and tiles[start][3] == 1
+            while end < len(tiles) and tiles[end] == tiles[start] and end - start < (FIRST_STEP if first else STEP):
                 end += 1
             part = batch.slice(start, end - start)
             dim, *_, kind = tiles[start]

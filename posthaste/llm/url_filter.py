@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RULES = 1_000_000
+# About 1.2 KB each, so a worker holds at most some 300 MB.
+MAX_RULES = 250_000
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Keys of a trie node that cannot be host labels or path segments.
-_PATHS, _STARTS = ("paths",), ("starts",)
+_PATHS, _STARTS, _SIZES = ("paths",), ("starts",), ("sizes",)
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -32,8 +34,7 @@ def split_url(url: Column) -> tuple[Column, Column]:
     rest = F.regexp_extract(url, r"(?s)^.*?://(.*)$", 1)
     host = F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1)
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return (F.coalesce(F.translate(host, upper, lower), F.lit("")), F.coalesce(path, F.lit("")))
+    return (F.coalesce(F.translate(host, _UPPER, _LOWER), F.lit("")), F.coalesce(path, F.lit("")))
 
 
 def build_trie(rules: Iterable[tuple[str, str]]) -> dict:
@@ -41,15 +42,16 @@ def build_trie(rules: Iterable[tuple[str, str]]) -> dict:
 
     Host labels lead from the last to the first. At the end of a host, the
     whole segments of the path lead on; the last segment, which may be cut
-    anywhere, stands in the node's list of beginnings.
+    anywhere, is among the node's beginnings, found by their lengths.
     """
     root: dict = {}
+    lower = str.maketrans(_UPPER, _LOWER)
     for verdict, rule in rules:
         if verdict not in ("allow", "block") or "/" not in rule:
             raise ValueError(f"not a rule: {verdict} {rule}")
         host, _, path = rule.partition("/")
         node = root
-        for label in reversed(host.lower().split(".")):
+        for label in reversed(host.translate(lower).split(".")):
             node = node.setdefault(label, {})
         rank = (len(rule), host.count("."), verdict == "block")
         node = node.setdefault(_PATHS, {})
@@ -57,6 +59,7 @@ def build_trie(rules: Iterable[tuple[str, str]]) -> dict:
         for segment in whole:
             node = node.setdefault(segment, {})
         starts = node.setdefault(_STARTS, {})
+        node.setdefault(_SIZES, set()).add(len(last))
         starts[last] = max(starts.get(last, ((),)), (rank, rule, verdict))
     return root
 
@@ -76,9 +79,11 @@ def longest_match(trie: dict, host: str, path: str) -> tuple[str | None, str | N
         for segment in segments:
             if place is None:
                 break
-            for start, found in place.get(_STARTS, {}).items():
-                if segment.startswith(start):
-                    best = max(best, found)
+            # One look-up for each length that a beginning here has.
+            starts = place.get(_STARTS, {})
+            for size in place.get(_SIZES, ()):
+                if size <= len(segment) and segment[:size] in starts:
+                    best = max(best, starts[segment[:size]])
             place = place.get(segment)
     return best[1], best[2]
 

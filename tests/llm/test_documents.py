@@ -226,17 +226,17 @@ def contaminated(spark):
             spark.createDataFrame(items, "item_id long, text string"), rows, items)
 
 
-@pytest.mark.parametrize("bound", [decontaminate.MAX_BROADCAST, 0])
+@pytest.mark.parametrize("bound", [decontaminate.MAX_BROADCAST_BYTES, 0])
 def test_contamination(contaminated, monkeypatch, bound):
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", bound)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", bound)
     docs, benchmark, rows, items = contaminated
     found = decontaminate.contamination(docs, benchmark).drop("text_hash").collect()
     assert sorted(map(tuple, found), key=str) == brute_contamination(rows, items)
 
 
-@pytest.mark.parametrize("bound", [decontaminate.MAX_BROADCAST, 0])
+@pytest.mark.parametrize("bound", [decontaminate.MAX_BROADCAST_BYTES, 0])
 def test_contamination_by_letters_that_depend_on_their_neighbours(spark, monkeypatch, bound):
-    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", bound)
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", bound)
     items = [(1, "Το Δ.Σ. της ΔΕΗ"), (2, "ΟΔΟΣ:ΑΒΓ " + " ".join("abcdefghijklmn")), (3, "İI K Σ")]
     rows = items + [(4, "το δ.σ. της δεη"), (5, "x ΟΔΟΣ ΑΒΓ A B C d e f g h i j k"), (6, "İi k Σ'A"), (7, "i̇i k σ")]
     found = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"),
