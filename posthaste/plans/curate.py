@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from posthaste import schemas
 from posthaste.functions import clock
 from posthaste.operators import dedupe, filters, ranks, splits
-from posthaste.sources import tables
+from posthaste.sources import ranges, tables
 
 
 def collect(arrivals: DataFrame, existing: DataFrame, order: str | Sequence[str],
@@ -29,14 +29,15 @@ def collect_into(table_dir: str, arrivals: DataFrame, order: str | Sequence[str]
                  target: int | None = None) -> DataFrame:
     """Append the new candidates to a stored table and return the table.
 
-    They are staged first: the look-up in the stored table runs once, and an
-    empty result leaves the table alone. ``ord`` numbers all stored rows in the
+    They are staged first: the look-up in the stored table runs once, reads only
+    the files whose range of ids the arrivals meet, and an empty result leaves
+    the table alone. ``ord`` numbers all stored rows in the
     order of collection: runs after each other, and rows of a run by ``order``.
     With a ``target`` the table stops growing at so many rows.
     """
     spark = arrivals.sparkSession
-    existing = tables.read_or_empty(spark, table_dir, schemas.CANDIDATES)
-    begin = existing.agg(F.coalesce(F.max("ord") + 1, F.lit(0))).first()[0]
+    begin = ranges.next_order(spark, table_dir, schemas.CANDIDATES, "tweet_id", "ord")
+    existing = ranges.possible_rows(arrivals, table_dir, schemas.CANDIDATES, "tweet_id")
     columns = [order] if isinstance(order, str) else list(order)
     found = collect(arrivals, existing, order, rules).withColumn("collected_at", clock.collected_at())
     placed, scratch = ranks.with_position(found, columns, "_position")

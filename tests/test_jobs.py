@@ -11,7 +11,7 @@ from posthaste import schemas
 from posthaste.operators import annotate, filters, model, reports, splits, stats, training
 from posthaste.plans import annotation, curate, train
 from posthaste.session import work_dir
-from posthaste.sources import history, samples, tables
+from posthaste.sources import history, ranges, samples, tables
 from posthaste.streaming import posts as streams
 
 
@@ -311,3 +311,27 @@ def test_whole_path_from_arrivals_to_scores(spark, sf, folder):
     train.train(scored, f"{folder}/trained", {"reg_param": model.Between(1e-3, 1e-2, True), "max_iter": model.OneOf((3,))}, n_trials=1)
     final = train.infer(rest, f"{folder}/trained/model", f"{folder}/scored")
     assert final.count() == rest.count()
+
+
+def test_look_ups_read_only_files_that_can_hold_an_id(spark, folder):
+    def day(n):
+        return spark.range(100).selectExpr(
+            f"cast({n} * 1000 + 1000000 + id as string) as tweet_id", "repeat('x', 60) as text",
+            "'Mon Jan 01 00:00:00 +0000 2024' as created_at", "60L as likes", "0L as replies", "0L as reposts",
+            "'q' as query_source", "id as ord")
+    place, seen = f"{folder}/t", []
+    for n in range(6):
+        seen.append(len(ranges.possible_files(day(n), place, "tweet_id")))
+        kept = curate.collect_into(place, day(n), "ord", RULES)
+        assert kept.count() == 100 * (n + 1)
+    # Files looked into do not grow with the table: only those without a row yet.
+    assert max(seen[2:]) <= max(seen[:2]) and len(ranges._files(spark, place)) >= 6
+    # A batch of old and new ids reads the old ones' files, and nothing comes in twice.
+    mixed = day(2).unionByName(day(9).limit(7)).unionByName(day(2).limit(1).withColumn("tweet_id", F.lit(None).cast("string")))
+    assert len(ranges.possible_files(mixed, place, "tweet_id")) < len(ranges._files(spark, place))
+    assert curate.collect_into(place, mixed, "ord", RULES).count() == 608
+    assert curate.collect_into(place, mixed, "ord", RULES).count() == 608
+    # A lost or late range row only costs reads.
+    tables.remove(spark, ranges.index_path(place))
+    rows = curate.collect_into(place, day(4), "ord", RULES).collect()
+    assert len(rows) == 608 and sorted(r["ord"] for r in rows) == list(range(608))
