@@ -61,10 +61,12 @@ POSTS = """posts AS (
 EVENT_POSTS = POSTS.replace("ON e.event_id = d.doc_id", "ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)").replace(
     "CAST(d.doc_id AS VARCHAR) AS tweet_id, d.doc_id AS ord", "CAST(e.event_id AS VARCHAR) AS tweet_id, e.event_id AS ord")
 
-ARRIVALS = POSTS + """, arrivals AS (
+_TWICE = """, arrivals AS (
   SELECT *, 1 AS arrival FROM posts
   UNION ALL
   SELECT * REPLACE (likes + 100 AS likes), 2 AS arrival FROM posts WHERE ord % 10 = 0)"""
+ARRIVALS = POSTS + _TWICE
+EVENT_ARRIVALS = EVENT_POSTS + _TWICE
 
 _PASSES = f"""length({_strip('coalesce(text, chr(32))')}) BETWEEN 50 AND 5000
   AND date_trunc('second', created_ts) >= TIMESTAMP '{START}'
@@ -1000,23 +1002,17 @@ def _land(df: DataFrame, place: str, files: int = 3) -> None:
       .repartition(files, "ord").write.mode("append").parquet(place)
 
 
-def _landing(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
-    place = work_dir(spark, "landing")
-    _land(samples.arrivals(spark, sf), place)
-    return place, streams.landing_stream(spark, place, _schema(_LANDED), files_per_trigger=2)
-
-
 def _schema(ddl: str):
     from pyspark.sql.types import StructType
     return StructType.fromDDL(ddl)
 
 
-@query(f"""WITH {ARRIVALS}, one AS (SELECT * FROM posts WHERE {_PASSES}),
+@query(f"""WITH {EVENT_ARRIVALS}, one AS (SELECT * FROM posts WHERE {_PASSES}),
   two AS (SELECT * FROM arrivals WHERE arrival = 2 AND {_PASSES} AND tweet_id NOT IN (SELECT tweet_id FROM one))
   SELECT tweet_id, text, likes FROM one UNION ALL SELECT tweet_id, text, likes FROM two""")
 def stream_ingest_restarted(spark, sf):
     landing, out, state = (work_dir(spark, n) for n in ("landing", "accepted", "state"))
-    arrived = samples.arrivals(spark, sf)
+    arrived = _event_arrivals(spark, sf)
     for turn in (1, 2):
         _land(arrived.filter(F.col("arrival") == turn), landing)
         stream = streams.landing_stream(spark, landing, _schema(_LANDED), files_per_trigger=2)
@@ -1044,13 +1040,18 @@ def stream_candidates(spark, sf):
     return spark.read.schema("tweet_id string, engagement_total long").parquet(out)
 
 
-def _event_landing(spark: SparkSession, sf: str) -> DataFrame:
-    """All events and later copies of every tenth, in the same files."""
-    landing = work_dir(spark, "landing")
+def _event_arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """All events, and later copies of every tenth with more likes."""
     first = samples.event_posts(spark, sf).withColumn("arrival", F.lit(1))
     again = (first.filter("ord % 10 = 0").withColumn("arrival", F.lit(2))
              .withColumn("likes", F.col("likes") + 100))
-    _land(again.unionByName(first), landing)
+    return again.unionByName(first)
+
+
+def _event_landing(spark: SparkSession, sf: str) -> DataFrame:
+    """All event arrivals, copies in the same files."""
+    landing = work_dir(spark, "landing")
+    _land(_event_arrivals(spark, sf), landing)
     return streams.landing_stream(spark, landing, _schema(_LANDED), files_per_trigger=2)
 
 
@@ -1070,15 +1071,14 @@ def stream_windows(spark, sf):
 
 
 # Scores of a stream are those of one batch with the same model.
-@query(f"WITH {ARRIVALS} SELECT ord, count(*) AS posts, true AS as_in_batch FROM arrivals GROUP BY ord")
+@query(f"WITH {EVENT_ARRIVALS} SELECT ord, count(*) AS posts, true AS as_in_batch FROM arrivals GROUP BY ord")
 def stream_scores(spark, sf):
     fitted = model.fit_regressor(_prepared(spark, sf))
     out, state = work_dir(spark, "scores"), work_dir(spark, "state")
-    _, stream = _landing(spark, sf)
-    scored = streams.score_stream(stream.select("ord", "text"), fitted)
+    scored = streams.score_stream(_event_landing(spark, sf).select("ord", "text"), fitted)
     streams.to_parquet(scored, out, state).awaitTermination()
     streamed = spark.read.schema(schemas.SCORED).parquet(out).select("ord", model.PREDICTION)
-    batch = model.score_posts(filters.select_text(samples.posts(spark, sf)), fitted)
+    batch = model.score_posts(samples.event_posts(spark, sf).select("ord", "text"), fitted)
     same = F.bool_and(F.abs(F.col(model.PREDICTION) - F.col("expected")) < 1e-12)
     return (streamed.join(batch.select("ord", F.col(model.PREDICTION).alias("expected")), "ord", "left")
             .groupBy("ord").agg(F.count("*").alias("posts"), same.alias("as_in_batch")))
