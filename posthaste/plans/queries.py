@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from posthaste import schemas
 from posthaste.functions import clock, numeric, text
-from posthaste.operators import (annotate, dedupe, encoding, filters, keywords, model, ranks, reports,
-                                 rubric, splits, stats, training)
+from posthaste.operators import (annotate, dedupe, encoding, filters, keywords, model, pooling, ranks,
+                                 reports, rubric, splits, stats, training)
 from posthaste.operators.rubric import CHOICES, NOUL, NUMERIC, QUESTIONS
 from posthaste.plans import annotation, curate, train
 from posthaste.session import work_dir
@@ -566,9 +566,8 @@ def linear_score(spark, sf):
   SELECT doc, CAST(i AS INTEGER) AS i, round(sum(v * mask) / greatest(sum(mask), 1e-9), 6) AS pooled FROM parts GROUP BY doc, i""")
 def mean_pooling(spark, sf):
     mask = F.when((F.col("vec_id") % 4 == 0) | (F.col("vec_id") % 60 < 6), 0).otherwise(1)
-    pooled = (samples.table(spark, sf, "embeddings").withColumn("mask", mask)
-              .groupBy(F.floor(F.col("vec_id") / 6).alias("doc"))
-              .agg(numeric.masked_mean(F.col("embedding"), F.col("mask"), 64).alias("pooled")))
+    rows = samples.table(spark, sf, "embeddings").withColumns({"mask": mask, "doc": F.floor(F.col("vec_id") / 6)})
+    pooled = pooling.mean_pooled(rows, ["doc"], "embedding", "mask", 64)
     return _rounded(pooled.select("doc", F.posexplode("pooled").alias("i", "pooled")))
 
 
@@ -732,9 +731,42 @@ def vif_two_columns(spark, sf):
     return _rounded(stats.vif(samples.table(spark, sf, "lineitem"), ["l_quantity", "l_discount"]))
 
 
-@query()
+def _swept_sql(columns: list[str], table: str) -> str:
+    """The covariances of ``columns`` in complete rows, swept by one column a step: (i, j, v) in ``swept``.
+
+    A column that the ones before explain is passed over. It keeps a variance of
+    0; beside it stand the slopes of what explains it.
+    """
+    p = len(columns)
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    structs = ", ".join(f"{{'i': {i}, 'j': {j}, 'v': covar_pop({a}, {b})}}"
+                        for i, a in enumerate(columns) for j, b in enumerate(columns))
+    steps = [f"complete AS MATERIALIZED (SELECT * FROM {table} WHERE {complete})",
+             f"m0 AS MATERIALIZED (SELECT unnest(l, recursive := true) FROM (SELECT [{structs}] AS l FROM complete))"]
+    for k in range(p):
+        steps.append(f"""m{k + 1} AS MATERIALIZED (SELECT a.i, a.j, CASE
+    WHEN d.v <= 1e-9 THEN a.v WHEN a.i = {k} AND a.j = {k} THEN 1 / d.v WHEN a.i = {k} THEN a.v / d.v WHEN a.j = {k} THEN -a.v / d.v
+    ELSE a.v - c.v * r.v / d.v END AS v FROM m{k} a JOIN m{k} r ON r.i = {k} AND r.j = a.j
+    JOIN m{k} c ON c.j = {k} AND c.i = a.i JOIN m{k} d ON d.i = {k} AND d.j = {k})""")
+    return ", ".join(steps) + f", swept AS (SELECT * FROM m{p})"
+
+
+_MEANS = ", ".join(f"({i}, '{c}', (SELECT avg({c}) FROM complete), (SELECT var_pop({c}) FROM complete))"
+                   for i, c in enumerate(NUMERIC))
+
+
+# The variance of a column times its cell of the inverse; infinite for a column that others explain or that
+# takes part in explaining another.
+@query(f"""WITH {ANNOTATED}, {_swept_sql(NUMERIC, 'annotated')}, c(i, variable, mean, var) AS (VALUES {_MEANS}),
+  passed AS (SELECT i FROM swept WHERE i = j AND v <= 1e-9),
+  bound AS (SELECT DISTINCT i FROM swept WHERE j IN (SELECT i FROM passed) AND abs(v) > 1e-9 UNION SELECT i FROM passed)
+  SELECT 'const' AS variable, round(1 + sum(a.mean * v * b.mean), 6) AS vif FROM swept s
+    JOIN c a ON a.i = s.i JOIN c b ON b.i = s.j
+    WHERE s.i NOT IN (SELECT i FROM passed) AND s.j NOT IN (SELECT i FROM passed)
+  UNION ALL SELECT variable, CASE WHEN c.i IN (SELECT i FROM bound) THEN CAST('inf' AS DOUBLE) ELSE round(var * v, 6) END
+  FROM c JOIN swept s ON s.i = c.i AND s.j = c.i""")
 def vif_answers(spark, sf):
-    return stats.vif(samples.annotated(spark, sf), NUMERIC)
+    return _rounded(stats.vif(samples.annotated(spark, sf), NUMERIC))
 
 
 _OLS = f"""WITH {_LINE}, b AS (SELECT *, (vay * vbb - vby * vab) / det AS ba, (vby * vaa - vay * vab) / det AS bb FROM s),

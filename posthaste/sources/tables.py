@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,14 +80,53 @@ def published_versions(spark: SparkSession, table_dir: str) -> list[int]:
     return sorted(int(p.split("version=")[1].split("/")[0]) for p in done)
 
 
-def publish(df: DataFrame, table_dir: str) -> int:
+class Conflict(Exception):
+    """Another writer took the version."""
+
+
+def _claimed(spark: SparkSession, path: str) -> bool:
+    """Make an empty file unless there is one; of several writers one gets True.
+
+    Hadoop's local file system looks first and writes then, so a local file is
+    made by the operating system.
+    """
+    fs, jpath = _filesystem(spark, path)
+    fs.mkdirs(jpath.getParent())
+    if fs.getScheme() == "file":
+        try:
+            os.close(os.open(jpath.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        except FileExistsError:
+            return False
+        return True
+    try:
+        fs.create(jpath, False).close()
+    except Py4JJavaError:
+        if not fs.exists(jpath):
+            raise
+        return False
+    return True
+
+
+def publish(df: DataFrame, table_dir: str, after: int | None = None) -> int:
     """Replace a table in one step, also by a frame that was read from it.
 
     Readers see the newest committed version; a failed write leaves the old one.
+    A writer takes its number by making a file that nobody else can make, so
+    writers at the same time get a version each. A frame that was made from
+    version ``after`` (0 for an empty table) becomes the next one or raises
+    :class:`Conflict`, so nobody's rows are replaced unread; a writer that died
+    in between is passed by a call without ``after``. The file system must make
+    new files atomically, as HDFS does.
     """
     spark = df.sparkSession
     taken = [int(p.rsplit("version=", 1)[1]) for p in matching_paths(spark, f"{table_dir}/version=*")]
+    if after is not None and after != max(published_versions(spark, table_dir), default=0):
+        raise Conflict(f"{table_dir}: version {after} is not the newest")
     version = max(taken, default=0) + 1
+    while not _claimed(spark, f"{table_dir}/claims/{version}"):
+        if after is not None:
+            raise Conflict(f"{table_dir}: another writer took version {version}")
+        version += 1
     write_table(df, f"{table_dir}/version={version}")
     return version
 

@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import warnings
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from posthaste.functions import clock, numeric, tails, text
+from posthaste.operators import pooling
 
 SPACES = [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680, 0x2000,
           0x2009, 0x2028, 0x202F, 0x205F, 0x3000]
@@ -111,6 +113,45 @@ def test_masked_mean(spark):
     assert {r["doc"]: r["m"] for r in found} == {1: [2.0, 4.0], 2: [0.0, 0.0]}
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_means_of_long_vectors_of_a_hot_key(spark, monkeypatch, partitions):
+    monkeypatch.setattr(pooling, "NUMBERS_AT_ONCE", 2000)
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(300, 768))
+    doc = [None if i % 10 == 0 else float("nan") if i % 10 == 1 else 0.0 if i % 2 else float(i) for i in range(300)]
+    mask = [1 if i % 3 else 0 for i in range(300)]
+    rows = spark.createDataFrame([(d, "x", m, v.tolist()) for d, m, v in zip(doc, mask, vectors)],
+                                 "doc double, part string, mask int, v array<double>").repartition(partitions)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 32)
+    try:
+        found = pooling.mean_pooled(rows, ["doc", "part"], "v", "mask", 768).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = {}
+    for d, m, v in zip(doc, mask, vectors):
+        expected.setdefault(repr(d), []).append((m, v))
+    assert sorted(repr(r["doc"]) for r in found) == sorted(expected)
+    for r in found:
+        kept = [v for m, v in expected[repr(r["doc"])] if m]
+        assert r["pooled"] == pytest.approx(np.mean(kept, axis=0) if kept else np.zeros(768))
+
+
+def test_means_of_vectors_with_holes(spark):
+    rows = spark.createDataFrame([(1, 1, [1.0, None]), (1, None, [9.0, 9.0]), (1, 1, None), (2, 1, None)],
+                                 "doc int, mask int, v array<float>")
+    found = {r["doc"]: r["pooled"] for r in pooling.mean_pooled(rows, ["doc"], "v", "mask", 2).collect()}
+    assert found == {1: [1.0, 0.0], 2: [0.0, 0.0]}
+    assert pooling.mean_pooled(rows.limit(0), ["doc"], "v", "mask", 2).collect() == []
+    with pytest.raises(Exception, match="not 3 components: 2"):
+        pooling.mean_pooled(rows, ["doc"], "v", "mask", 3).collect()
+
+
+def test_collected_at_is_one_time_of_the_run(spark):
+    before = dt.datetime.now().timestamp()
+    times = {r[0].timestamp() for r in spark.range(100).repartition(4).select(clock.collected_at()).collect()}
+    assert len(times) == 1 and before - 1e-3 <= times.pop() <= dt.datetime.now().timestamp()
+
+
 def test_linear_head(spark):
     row = spark.createDataFrame([([1.0, 2.0],)], "v array<float>").select(
         numeric.linear_head(F.col("v"), [0.5, -1.0], 0.25)).first()

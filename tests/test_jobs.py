@@ -1,6 +1,7 @@
 """Sources, annotation, training and streams, end to end."""
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,29 @@ def test_uncommitted_version_is_not_read(spark, folder):
     assert tables.read_published(spark, place, schemas.CLEANED).count() == 0
 
 
+def test_writers_at_the_same_time_get_a_version_each(spark, folder):
+    place = f"{folder}/t"
+    frames = [spark.createDataFrame([(i, "a")], schemas.CLEANED) for i in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        versions = list(pool.map(lambda df: tables.publish(df, place), frames))
+    assert sorted(versions) == list(range(1, 7))
+    for i, version in enumerate(versions):
+        assert [r["ord"] for r in spark.read.parquet(f"{place}/version={version}").collect()] == [i]
+    assert [r["ord"] for r in tables.read_published(spark, place, schemas.CLEANED).collect()] == [versions.index(6)]
+
+
+def test_a_stale_frame_replaces_nothing(spark, folder):
+    place = f"{folder}/t"
+    df = spark.createDataFrame([(1, "a")], schemas.CLEANED)
+    assert tables.publish(df, place, after=0) == 1
+    with pytest.raises(tables.Conflict):
+        tables.publish(df, place, after=0)
+    open(f"{place}/claims/2", "w").close()  # a writer that has begun
+    with pytest.raises(tables.Conflict):
+        tables.publish(df, place, after=1)
+    assert tables.publish(df, place) == 3
+
+
 def test_work_dir_takes_the_setting_of_the_session(spark):
     assert work_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
 
