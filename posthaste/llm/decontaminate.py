@@ -1,14 +1,16 @@
 """Benchmark decontamination in DataFrame functions only.
 
 Every run of ``width`` words of a benchmark item is a window; a shorter item is
-one window. A window is looked for at its longest word, its anchor: documents
-are taken apart into words, words that are anchors are kept by a hash join, and
-only there the whole window is compared with the document. As words and windows
-are compared themselves, not their hashes, there are no false hits.
+one window. The 64-bit hashes of all windows are broadcast as a set. The scan of
+the documents hashes the words from every position on, once for each length that
+windows have, and asks the set; what it finds is then verified word by word, so
+equal hashes of other words give no hits.
 
-The windows are broadcast if they take at most ``MAX_BROADCAST_BYTES`` with the
-ids of their items, whatever their number; larger ones meet the words of the documents by a shuffle, for the same result. A common
-anchor is then split by Spark's adaptive skew join.
+The set is broadcast in blocks of at most ``MAX_BROADCAST_BYTES``, one scan of
+the documents for each; only beyond some two million windows are there several.
+Nothing but found windows and one row per document leaves the scan. Lists of
+items go neither with windows nor with hits: equal lists have one number, and
+the lists meet the numbers that a document has found.
 
 Words are runs of letters a-z, digits and characters beyond ASCII; only A-Z are
 lower-cased. Nulls and ties: a null or empty text has no words and no hits.
@@ -19,6 +21,8 @@ give no hits; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +30,9 @@ from posthaste.sources.tables import stored
 
 WIDTH = 13
 MAX_BROADCAST_BYTES = 64 << 20
-# What a row takes for a string besides its bytes.
-STRING_BYTES = 16
+# What a key of a broadcast takes, and the least number of them in a block.
+KEY_BYTES = 32
+KEYS_AT_LEAST = 64
 # Words as they are written, and what stands between them.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -45,20 +50,57 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(text, GAP), ""), F.array().cast("array<string>"))
 
 
-def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``benchmark(item_id, text)`` -> distinct windows: ``(words, items, anchor, place)``.
+def _key(said: Column) -> Column:
+    return F.xxhash64(said)
 
-    ``place`` is where in the window the anchor stands: its first longest word.
-    """
+
+def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``benchmark(item_id, text)`` -> distinct windows: ``(words, key, items)``."""
     said = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
                             F.transform(words(F.col("text")), lower_ascii).alias("all")).filter(F.size("all") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("all") - F.lit(width - 1)))
     cut = said.select("item", F.explode(starts).alias("at"), "all").select(
         "item", F.slice("all", F.col("at"), F.lit(width)).alias("words"))
     whole = cut.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    lengths = F.transform("words", lambda w: F.char_length(w))
-    place = F.array_position(lengths, F.array_max(lengths)).cast("int")
-    return whole.withColumn("place", place).withColumn("anchor", F.element_at("words", F.col("place")))
+    return whole.select("words", _key(F.col("words")).alias("key"), "items")
+
+
+def _numbered(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Windows ``(words, key, list)``, and the distinct lists of items ``(list, items)``."""
+    lists = stored(found.select("items").distinct().withColumn("list", F.monotonically_increasing_id()), "items")
+    return found.join(lists, "items").select("words", "key", "list"), lists
+
+
+def spots(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` and windows -> ``(doc_id, text_hash, n_words, start, key, said)``.
+
+    One row for each place where words have the hash of a window, and one with
+    ``n_words`` alone for each row of ``docs``.
+    """
+    lengths = sorted(r[0] for r in found.select(F.size("words")).distinct().collect())
+    # A-Z alone are lower-cased, here and in windows: what becomes of other letters can depend on their neighbours.
+    told = docs.select("doc_id", F.xxhash64("text").alias("text_hash"),
+                       words(lower_ascii(F.col("text"))).alias("all"))
+    at, size = F.col("start"), F.size("all")
+    keys = {n: F.when(at + n <= size, _key(F.slice("all", at + 1, F.lit(n)))) for n in lengths or [1]}
+    # The place behind the last word stands for the document itself, with the key 0.
+    last = max(keys)
+    keys[last] = F.when(at == size, F.lit(0)).otherwise(keys[last])
+    probes = [F.struct(F.lit(n).alias("length"), key.alias("key")) for n, key in keys.items()]
+    placed = told.select("*", F.explode(F.sequence(F.lit(0), size)).alias("start"))
+    asked = placed.select("*", (F.explode(F.array(*probes)) if len(probes) > 1 else probes[0]).alias("probe"))
+    blocks = 1 + (found.count() - 1) // max(KEYS_AT_LEAST, MAX_BROADCAST_BYTES // KEY_BYTES)
+    sought = found.select("key").distinct()
+    parts = []
+    for block in range(max(1, blocks)):
+        held = sought.filter(F.pmod("key", F.lit(blocks)) == block) if blocks > 1 else sought
+        if block == 0:
+            held = held.unionByName(held.sparkSession.range(1).select(F.lit(0).cast("long").alias("key")))
+        met = asked.select("*", "probe.*").join(F.broadcast(held), "key", "left_semi").select(
+            "doc_id", "text_hash", F.when(at == size, size).alias("n_words"), "start", "key",
+            F.when(at < size, F.slice("all", at + 1, F.col("length"))).alias("said"))
+        parts.append(stored(met, "spots"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -68,74 +110,25 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame
     ``spans`` are the (start, length) in words of all occurrences, ``items`` the
     ids found; ``copies`` tells how many rows are equal.
     """
-    found = windows(benchmark, width)
-    sought = found.groupBy(F.col("anchor").alias("key")).agg(
-        F.collect_list(F.struct("words", "items", "place")).alias("windows"))
-    # A-Z alone are lower-cased, here and in windows: what becomes of other letters can depend on their neighbours.
-    told = docs.select("doc_id", F.xxhash64("text").alias("text_hash"),
-                       words(lower_ascii(F.col("text"))).alias("all"))
-    if _bytes(found) <= MAX_BROADCAST_BYTES:
-        return _hits_by_broadcast(told, sought)
-    return _hits_by_shuffle(told, sought)
-
-
-def _bytes(found: DataFrame) -> int:
-    """The size of all windows, each with its words, its anchor and its items."""
-    said = [F.octet_length(F.array_join(c, "")) + STRING_BYTES * F.size(c) for c in ("words", "items")]
-    one = said[0] + said[1] + F.octet_length("anchor") + STRING_BYTES
-    return found.agg(F.coalesce(F.sum(one.cast("long")), F.lit(0))).first()[0]
-
-
-def _alike(begin: Column, window: Column) -> Column:
-    """Whether the window's words stand from the ``begin``-th word on."""
-    said = F.slice("all", F.greatest(begin, F.lit(1)), F.size(window["words"]))
-    return (begin >= 1) & (said == window["words"])
-
-
-def _span(begin: Column, window: Column) -> Column:
-    return F.struct((begin - 1).alias("start"), F.size(window["words"]).alias("length"))
-
-
-def _hits_by_broadcast(told: DataFrame, sought: DataFrame) -> DataFrame:
-    """Words meet the anchors inside the scan; nothing but the hits is shuffled."""
-    # No word is empty: the empty key lets one row of every document through.
-    none = told.sparkSession.range(1).select(F.lit("").alias("key"), F.lit(None).cast(
-        sought.schema["windows"].dataType).alias("windows"))
-    apart = told.select("doc_id", "text_hash", "all",
-                        F.posexplode(F.array_append("all", F.lit(""))).alias("at", "key"))
-    near = apart.join(F.broadcast(sought.unionByName(none)), "key").withColumn("w", F.explode_outer("windows"))
-    begin, window = F.col("at") + 2 - F.col("w.place"), F.col("w")
-    there = (near.filter((F.col("key") == "") | _alike(begin, window)).withColumn("begin", begin)
-             .select("doc_id", "text_hash", "w.items",
-                     F.when(F.col("key") == "", F.size("all")).alias("n_words"),
-                     F.when(F.col("key") != "", _span(F.col("begin"), window)).alias("span")))
-    return there.groupBy("doc_id", "text_hash").agg(
+    found = stored(windows(benchmark, width), "windows")
+    numbered, lists = _numbered(found)
+    near = spots(docs, found)
+    same = F.col("said") == F.col("words")
+    there = near.filter("said is not null").join(numbered, "key").filter(same).select(
+        "doc_id", "text_hash", F.lit(None).cast("int").alias("n_words"),
+        F.struct("start", F.size("said").alias("length")).alias("span"), "list")
+    kinds = dict(there.dtypes)
+    told = near.filter("n_words is not null").select(
+        "doc_id", "text_hash", "n_words", *[F.lit(None).cast(kinds[c]).alias(c) for c in ("span", "list")])
+    by_document = told.unionByName(there).groupBy("doc_id", "text_hash").agg(
         F.count("n_words").alias("copies"), F.max("n_words").alias("n_words"),
-        F.sort_array(F.collect_set("span")).alias("spans"),
+        F.sort_array(F.collect_set("span")).alias("spans"), F.collect_set("list").alias("lists"))
+    listed = by_document.withColumn("list", F.explode_outer("lists")).join(lists, "list", "left")
+    return listed.groupBy("doc_id", "text_hash").agg(
+        *[F.first(c).alias(c) for c in ("copies", "n_words", "spans")],
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
 
-def _hits_by_shuffle(told: DataFrame, sought: DataFrame) -> DataFrame:
-    """Words meet any number of anchors by a shuffle, without their texts; the
-    places found come back to each text as one row."""
-    apart = told.select("doc_id", "text_hash", F.posexplode("all").alias("at", "key"))
-    near = (apart.join(stored(sought, "sought"), "key").withColumn("w", F.explode("windows"))
-            .withColumn("begin", F.col("at") + 2 - F.col("w.place")))
-    places = (near.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-              .agg(F.collect_set(F.struct("begin", "w")).alias("places")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash"))
-    looked = told.join(places, same, "left").withColumn("found", F.filter(
-        F.coalesce("places", F.array().cast(places.schema["places"].dataType)),
-        lambda p: _alike(p["begin"], p["w"])))
-    spans = F.sort_array(F.array_distinct(F.transform("found", lambda p: _span(p["begin"], p["w"]))))
-    items = F.sort_array(F.array_distinct(F.flatten(F.transform("found", lambda p: p["w"]["items"]))))
-    return (looked.select("doc_id", "text_hash", F.size("all").alias("n_words"), spans.alias("spans"),
-                          items.alias("items"))
-            .groupBy("doc_id", "text_hash").agg(
-                F.count("*").alias("copies"), F.max("n_words").alias("n_words"),
-                F.first("spans").alias("spans"), F.first("items").alias("items")))
-
-
 def covered(spans: Column) -> Column:
     """Number of words inside any of the sorted (start, length) spans."""
     nothing = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("total"))

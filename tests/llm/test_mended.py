@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from posthaste.llm import licenses, near_dup, nearest, url_filter
+from posthaste.llm import decontaminate, licenses, near_dup, nearest, url_filter
 
 
 def test_every_text_of_a_repeated_doc_id_is_linked(spark):
@@ -59,3 +59,32 @@ def test_bounds_spare_inner_products(spread, most):
     order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :5]
     assert (best.found == order).all()
     assert best.scored < most * scores.size
+
+
+def windows_around(word, count):
+    """An item of many windows that share a word far longer than the others."""
+    random = np.random.default_rng(6)
+    return " ".join(" ".join(f"w{x}" for x in random.integers(0, 10**6, 12)) + " " + word for _ in range(count // 13))
+
+
+def test_rows_of_decontamination_are_hits(spark):
+    word = "internationalisation"
+    item = windows_around(word, 3000)
+    docs = spark.createDataFrame([(i, f"{word} and no more {word}") for i in range(500)] + [(500, item)],
+                                 "doc_id long, text string")
+    found = decontaminate.windows(spark.createDataFrame([(1, item)], "item_id long, text string"))
+    n = found.count()
+    assert n == len(item.split()) - 12
+    assert decontaminate.spots(docs, found).count() == 501 + n
+
+
+@pytest.mark.parametrize("bound", [decontaminate.MAX_BROADCAST_BYTES, 0])
+def test_equal_hashes_are_no_hits(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST_BYTES", bound)
+    monkeypatch.setattr(decontaminate, "_key", lambda said: F.pmod(F.xxhash64(said), F.lit(3)))
+    said = windows_around("middle", 200)
+    docs = spark.createDataFrame([(1, said), (2, said.replace("middle", "centre")), (3, "w1 " * 40), (4, "Short, item"),
+                                  (5, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", said), ("b", said), ("c", "short item")], "item_id string, text string")
+    found = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert found == {1: (len(said.split()), 2), 2: (0, 0), 3: (0, 0), 4: (2, 1), 5: (0, 0)}
