@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from posthaste.functions import numeric, tails
-from posthaste.operators import ranks
+from posthaste.operators import encoding, ranks
 from posthaste.sources.tables import stored
 
 
@@ -119,14 +120,66 @@ def best_trial(df: DataFrame, params: Sequence[str] = ()) -> DataFrame:
 
 # --- profiles ------------------------------------------------------------
 
-def profile(df: DataFrame) -> DataFrame:
-    """Column, non-missing count and type, one row per column."""
-    def present(field) -> Column:
-        number = field.dataType.typeName() in ("double", "float")
-        return F.count(_number(field.name) if number else F.col(field.name))
+def _present(field: T.StructField) -> Column:
+    number = field.dataType.typeName() in ("double", "float")
+    return F.count(_number(field.name) if number else F.col(field.name))
+
 
+@dataclass
+class Overview:
+    """What one scan tells of every column: rows that have it, of numbers also the
+    mean and the ends, and the values of category columns."""
+
+    present: dict[str, int]
+    mean: dict[str, float]
+    ends: dict[str, tuple[float | None, float | None]]
+    categories: dict[str, list[str]]
+
+
+def overview(df: DataFrame, labels: Sequence[str] = (), most: int | None = None) -> Overview:
+    """One scan, also for the categories: each label column is a grouping set
+    beside that of all rows. More than ``most`` categories of all labels fail."""
+    labels, numbers = list(labels), numeric_columns(df)
+    most = encoding.MAX_CATEGORIES if most is None else most
+    ends = [f(_number(c)).alias(f"_{name}{i}") for i, c in enumerate(numbers)
+            for name, f in (("mean", F.avg), ("low", F.min), ("high", F.max))]
+    # Labels as they are counted stand beside the copies that group.
+    copies = df.withColumns({f"_label{i}": F.col(c).cast("string") for i, c in enumerate(labels)})
+    keys = [f"_label{i}" for i in range(len(labels))]
+    counted = [_present(f).alias(f"_n{i}") for i, f in enumerate(df.schema.fields)] + ends
+    if labels:
+        grouped = copies.groupingSets([[], *[[k] for k in keys]], *keys).agg(F.grouping_id().alias("_set"), *counted)
+    else:
+        grouped = copies.agg(F.lit(0).alias("_set"), *counted)
+    rows = grouped.limit(most + len(labels) + 2).collect()
+    if len(rows) > most + len(labels) + 1:
+        raise ValueError(f"more than {most} categories in {labels}")
+    # A bit is set for every key that a grouping set leaves out.
+    everything = (1 << len(keys)) - 1
+    total = next((r for r in rows if r["_set"] == everything), None)
+    values: dict[str, list[str]] = {c: [] for c in labels}
+    for r in rows:
+        for i, c in enumerate(labels):
+            if r["_set"] == everything - (1 << (len(keys) - 1 - i)) and r[keys[i]] is not None:
+                values[c].append(r[keys[i]])
+
+    def at(name: str, empty=None):
+        return empty if total is None or total[name] is None else total[name]
+
+    return Overview({f.name: at(f"_n{i}", 0) for i, f in enumerate(df.schema.fields)},
+                    {c: at(f"_mean{i}", 0.0) for i, c in enumerate(numbers)},
+                    {c: (at(f"_low{i}"), at(f"_high{i}")) for i, c in enumerate(numbers)},
+                    {c: sorted(v) for c, v in values.items()})
+
+
+def profile(df: DataFrame, seen: Overview | None = None) -> DataFrame:
+    """Column, non-missing count and type, one row per column."""
     fields = df.schema.fields
-    counted = df.agg(*[present(f).alias(f"_{i}") for i, f in enumerate(fields)])
+    if seen is not None:
+        return df.sparkSession.createDataFrame(
+            [(i, f.name, seen.present[f.name], f.dataType.simpleString()) for i, f in enumerate(fields)],
+            "position int, column string, non_null long, type string")
+    counted = df.agg(*[_present(f).alias(f"_{i}") for i, f in enumerate(fields)])
     return counted.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
                  F.col(f"_{i}").alias("non_null"), F.lit(f.dataType.simpleString()).alias("type"))
@@ -138,57 +191,106 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [name for name, kind in df.dtypes if kind in kinds]
 
 
-def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson r of every pair of columns, from the rows where both are present.
+@dataclass
+class PairSums:
+    """Sums over the rows that have both of two columns, less a centre:
+    ``n``, ``sx`` and ``sxx`` of the first column and ``sxy`` of their product."""
+
+    columns: list[str]
+    centre: np.ndarray
+    n: np.ndarray
+    sx: np.ndarray
+    sxx: np.ndarray
+    sxy: np.ndarray
 
-    r is NULL when one of the two does not vary. Like :func:`moments`, this is
-    matrix products per task: one aggregate per pair in the JVM makes a method
-    too long to be compiled from some eight columns on.
+    def moments(self) -> Moments:
+        """Of complete rows: every cell has the same rows."""
+        n = int(round(self.n[0, 0]))
+        off = self.sx[:, 0] / max(n, 1)
+        return Moments(n, self.centre + off, self.sxy - n * np.outer(off, off))
+
+
+@dataclass(frozen=True)
+class Among:
+    """Columns whose sums are wanted, from complete rows or for each pair from the rows that have both."""
+
+    columns: Sequence[str]
+    complete: bool = True
+
+
+def pair_sums(df: DataFrame, sets: Mapping[str, Among], centre: Mapping[str, float] | None = None) -> dict[str, PairSums]:
+    """Sums of any number of column sets in one scan, or two if no centre near the means is given.
+
+    Each task multiplies its Arrow batches and sends one small matrix a set; the
+    driver gets their sums, never rows. One aggregate per pair in the JVM would
+    make a method too long to be compiled from some eight columns on.
     """
-    columns = list(columns)
-    p = len(columns)
+    columns = list(dict.fromkeys(c for s in sets.values() for c in s.columns))
     rows = df.select(*[_number(c).alias(f"_{i}") for i, c in enumerate(columns)])
-    means = rows.agg(*[F.avg(c) for c in rows.columns]).first()
-    mean = np.array([0.0 if v is None else v for v in means])
+    if centre is None:
+        means = rows.agg(*[F.avg(c) for c in rows.columns]).first()
+        centre = {c: 0.0 if v is None else v for c, v in zip(columns, means)}
+    middle = np.array([float(centre.get(c, 0.0)) for c in columns])
+    wanted = [(name, [columns.index(c) for c in s.columns], s.complete) for name, s in sets.items()]
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((4, p, p))
+        totals = {name: np.zeros((4, len(at), len(at))) for name, at, _ in wanted}
         for batch in batches:
-            x = batch.to_numpy(dtype=float) - mean
-            present = ~np.isnan(x)
-            x[~present] = 0.0
-            mask = present.astype(float)
-            total += np.stack([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x])
-        i, j = np.indices((p, p))
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(),
-                            **{k: t.ravel() for k, t in zip(("n", "sx", "sxx", "sxy"), total)}})
-
-    cells = (rows.mapInPandas(products, "i int, j int, n double, sx double, sxx double, sxy double")
-             .groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in ("n", "sx", "sxx", "sxy")]).collect())
-    at = {(c["i"], c["j"]): c for c in cells}
+            every = batch.to_numpy(dtype=float) - middle
+            for name, at, complete in wanted:
+                x = every[:, at]
+                present = ~np.isnan(x)
+                if complete:
+                    present &= present.all(axis=1, keepdims=True)
+                x = np.where(present, x, 0.0)
+                mask = present.astype(float)
+                totals[name] += np.stack([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x])
+        for name, total in totals.items():
+            i, j = np.indices(total.shape[1:])
+            yield pd.DataFrame({"set": name, "i": i.ravel(), "j": j.ravel(),
+                                **{k: t.ravel() for k, t in zip(("n", "sx", "sxx", "sxy"), total)}})
+
+    kinds = "set string, i int, j int, n double, sx double, sxx double, sxy double"
+    cells = rows.mapInPandas(products, kinds).groupBy("set", "i", "j").agg(
+        *[F.sum(k).alias(k) for k in ("n", "sx", "sxx", "sxy")]).collect()
+    sums = {name: np.zeros((4, len(at), len(at))) for name, at, _ in wanted}
+    for c in cells:
+        sums[c["set"]][:, c["i"], c["j"]] = c["n"], c["sx"], c["sxx"], c["sxy"]
+    return {name: PairSums(list(sets[name].columns), middle[at], *sums[name]) for name, at, _ in wanted}
+
+
+def corr_matrix(df: DataFrame, columns: Sequence[str], sums: PairSums | None = None) -> DataFrame:
+    """Pearson r of every pair of columns, from the rows where both are present.
+
+    r is NULL when one of the two does not vary.
+    """
+    columns = list(columns)
+    s = sums or pair_sums(df, {"": Among(columns, complete=False)})[""]
 
     def r(i: int, j: int) -> float | None:
-        a, b = at.get((i, j)), at.get((j, i))
-        if a is None or a["n"] < 2:
+        n = s.n[i, j]
+        if n < 2:
             return None
-        spread = [max(0.0, c["sxx"] - c["sx"] ** 2 / c["n"]) for c in (a, b)]
+        spread = [max(0.0, s.sxx[a, b] - s.sx[a, b] ** 2 / n) for a, b in ((i, j), (j, i))]
         # Rounding leaves a trace of spread in a constant column.
-        if any(v <= c["n"] * (1e-12 * m) ** 2 for v, c, m in zip(spread, (a, b), (mean[i], mean[j]))):
+        if any(v <= n * (1e-12 * s.centre[a]) ** 2 for v, a in zip(spread, (i, j))):
             return None
-        found = (a["sxy"] - a["sx"] * b["sx"] / a["n"]) / math.sqrt(spread[0] * spread[1])
+        found = (s.sxy[i, j] - s.sx[i, j] * s.sx[j, i] / n) / math.sqrt(spread[0] * spread[1])
         return float(min(1.0, max(-1.0, found)))
 
+    p = len(columns)
     return df.sparkSession.createDataFrame(
         [(columns[i], columns[j], r(i, j)) for i in range(p) for j in range(p)], "a string, b string, r double")
 
 
-def pair_bins(df: DataFrame, columns: Sequence[str], bins: int = 20) -> DataFrame:
+def pair_bins(df: DataFrame, columns: Sequence[str], bins: int = 20, seen: Overview | None = None) -> DataFrame:
     """Counts for a scatter matrix: one histogram per column, a grid per pair.
 
     A column's bins have equal widths from its least to its greatest value.
     """
     rows = df.select(*[_number(c).alias(f"_{i}") for i, c in enumerate(columns)])
-    ends = rows.agg(*[f(f"_{i}") for i in range(len(columns)) for f in (F.min, F.max)]).first()
+    ends = ([end for c in columns for end in seen.ends[c]] if seen is not None else
+            rows.agg(*[f(f"_{i}") for i in range(len(columns)) for f in (F.min, F.max)]).first())
 
     def bin_of(i: int) -> Column:
         low, high = ends[2 * i], ends[2 * i + 1]
@@ -217,29 +319,8 @@ class Moments:
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
-    """One pass for the means, one for the centred products.
-
-    Each task multiplies its Arrow batches and sends one small matrix; the
-    driver gets the p×p sum, never rows. ``df`` must be complete.
-    """
-    first = df.agg(F.count("*"), *[F.avg(c) for c in columns]).first()
-    n, p = first[0], len(columns)
-    mean = np.array([0.0 if v is None else v for v in first[1:]])
-
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((p, p))
-        for batch in batches:
-            x = batch.to_numpy(dtype=float) - mean
-            total += x.T @ x
-        i, j = np.indices((p, p))
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
-
-    cells = (df.select(*columns).mapInPandas(products, "i int, j int, s double")
-             .groupBy("i", "j").agg(F.sum("s").alias("s")).collect())
-    cross = np.zeros((p, p))
-    for cell in cells:
-        cross[cell["i"], cell["j"]] = cell["s"]
-    return Moments(n, mean, cross)
+    """Of the rows that have all columns: a scan for the centre, one for the sums."""
+    return pair_sums(df, {"": Among(columns)})[""].moments()
 
 
 def _scaled_inverse(cross: np.ndarray) -> tuple[np.ndarray, int]:
@@ -251,9 +332,9 @@ def _scaled_inverse(cross: np.ndarray) -> tuple[np.ndarray, int]:
     return inverse / np.outer(scale, scale), int(np.linalg.matrix_rank(unit, tol=1e-12, hermitian=True))
 
 
-def vif(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def vif(df: DataFrame, columns: Sequence[str], sums: PairSums | None = None) -> DataFrame:
     """Variance inflation of the constant and of each column; inf if collinear."""
-    m = moments(complete_cases(df, columns), columns)
+    m = sums.moments() if sums else moments(df, columns)
     inverse, _ = _scaled_inverse(m.cross)
     rows = [("const", float(1 + m.n * m.mean @ inverse @ m.mean))]
     for j, name in enumerate(columns):
@@ -272,16 +353,17 @@ def vif(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def ols(df: DataFrame, y: str, xs: Sequence[str], order: str | None = None,
-        confidence: float = 0.95,
-        rows_per_range: int = ranks.ROWS_PER_RANGE) -> tuple[DataFrame, DataFrame]:
+        confidence: float = 0.95, rows_per_range: int = ranks.ROWS_PER_RANGE,
+        sums: PairSums | None = None) -> tuple[DataFrame, DataFrame]:
     """Least squares with a constant: (coefficient table, summary table).
 
     Rows with a missing value are left out. With ``order``, a unique numeric
-    column, the summary has the Durbin-Watson statistic along it.
+    column, the summary has the Durbin-Watson statistic along it. ``sums`` are
+    those of the complete rows of the ``xs`` and ``y``, in this order.
     """
     xs = list(xs)
     rows = complete_cases(df.select(*dict.fromkeys([y, *xs, *([order] if order else [])])), [y, *xs])
-    m = moments(rows, [*xs, y])
+    m = sums.moments() if sums else moments(rows, [*xs, y])
     p = len(xs)
     inverse, rank = _scaled_inverse(m.cross[:p, :p])
     mean_x, mean_y, tss = m.mean[:p], m.mean[p], m.cross[p, p]
@@ -292,6 +374,9 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], order: str | None = None,
     for name, slope in zip(xs, slopes):
         fitted = fitted + F.col(name) * F.lit(slope)
     residuals = rows.select((F.col(y) - fitted).alias("_e"), *([order] if order else []))
+    if order:
+        # Two numbers a row, read several times, in place of the table.
+        residuals = stored(residuals, "residuals")
     shape = residuals.agg(F.sum(F.col("_e") * F.col("_e")).alias("rss"),
                           F.skewness("_e").alias("skew"), F.kurtosis("_e").alias("kurt")).first()
     rss = shape["rss"] or 0.0

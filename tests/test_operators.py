@@ -468,6 +468,43 @@ def test_explore_gives_every_report(spark, sf):
     assert "input_tokens" in variables and "content_type_claim" not in variables
 
 
+def test_explore_scans_four_times_and_equals_the_parts(spark, sf, folder):
+    samples.annotated(spark, sf).withColumn("ragebait", F.when(F.col("ord") % 9 > 0, F.col("ragebait"))).write.parquet(
+        f"{folder}/t")
+    table = spark.read.parquet(f"{folder}/t")
+    rows, read = table.count(), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    found = {name: df.collect() for name, df in explore.explore(table.mapInArrow(counted, table.schema)).items()}
+    assert read.value <= 4 * rows
+    numbers = [c for c in stats.numeric_columns(table) if c != "ord"]
+    assert found["profile"] == stats.profile(table).collect()
+    assert sorted(found["pairs"]) == sorted(stats.pair_bins(table, numbers).collect())
+    for name, alone in (("correlation", stats.corr_matrix(table, numbers)), ("vif", stats.vif(table, numbers))):
+        for shared, single in zip(found[name], alone.collect(), strict=True):
+            assert shared[:-1] == single[:-1]
+            assert shared[-1] == (single[-1] if single[-1] is None else pytest.approx(single[-1], nan_ok=True))
+    encoded = encoding.dummies(table.drop("text"), explore.LABELS[1:])
+    predictors = [c for c in encoded.columns if c not in ("ord", "ragebait")]
+    for shared, single in zip(found["coefficients"], stats.ols(encoded, "ragebait", predictors)[0].collect(), strict=True):
+        assert shared[0] == single[0] and shared[1] == pytest.approx(single[1], abs=1e-9)
+
+
+def test_overview_of_labels(spark):
+    rows = spark.createDataFrame([("a", None, 1.0), ("b", "x", float("nan")), (None, "x", 3.0), ("a", None, None)],
+                                 "p string, q string, v double")
+    seen = stats.overview(rows, ["p", "q"])
+    assert seen == stats.Overview({"p": 3, "q": 2, "v": 2}, {"v": 2.0}, {"v": (1.0, 3.0)}, {"p": ["a", "b"], "q": ["x"]})
+    none = stats.overview(rows.limit(0), ["p", "q"])
+    assert none == stats.Overview({"p": 0, "q": 0, "v": 0}, {"v": 0.0}, {"v": (None, None)}, {"p": [], "q": []})
+    with pytest.raises(ValueError, match="more than 2 categories"):
+        stats.overview(rows, ["p", "q"], most=2)
+
+
 def test_reports_of_an_empty_run(spark, sf):
     none = samples.annotated(spark, sf).filter("false")
     assert tuple(reports.cost_report(none).first()) == (0, 0, 0, 0, 0.0)
