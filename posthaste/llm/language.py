@@ -144,13 +144,17 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str]) -> Langu
 
 
 def fit(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> LanguageModel | None:
-    """``docs(doc_id, text, lang)`` -> a model of about ``max_labelled`` rows; None without any."""
+    """``docs(doc_id, text, lang)`` -> a model of at most ``max_labelled`` rows, chosen by hash; None without any.
+
+    The hash is of id and text, so rows without an id differ too; of rows that
+    are equal in all three only as many come to the driver as the bound leaves.
+    """
     known = docs.filter("lang is not null and text is not null").select("doc_id", "text", "lang")
     rows = known.count()
-    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30))
     share = min(1.0, max_labelled / max(rows, 1))
     sample = known.withColumn("place", place).filter(F.col("place") < int(share * (1 << 30)))
-    bags = (sample.select("place", "lang", "text")
+    bags = (sample.orderBy("place", "lang").limit(max_labelled).select("place", "lang", "text")
             .mapInArrow(_bags, "place long, lang string, keys array<int>, shares array<float>").toArrow()
             .sort_by([("place", "ascending"), ("lang", "ascending")]))
     held = [(np.asarray(k), np.asarray(v)) for k, v in zip(

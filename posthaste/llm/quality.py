@@ -149,11 +149,14 @@ def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """About ``max_labelled`` rows of ``labels(doc_id, quality)`` that may be learned from, chosen by hash."""
+    """At most ``max_labelled`` rows of ``labels(doc_id, quality)`` that may be learned from, chosen by hash,
+    whatever the labels of one doc_id."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
              .filter("doc_id is not null and label is not null").filter(~held_out(F.col("doc_id"))))
     share = min(1.0, max_labelled / max(known.count(), 1))
-    return known.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30))
+    drawn = known.withColumn("place", place).filter(F.col("place") < int(share * (1 << 30)))
+    return drawn.orderBy("place", "doc_id", "label").limit(max_labelled).drop("place")
 
 
 def fit(labelled: DataFrame) -> QualityModel:
