@@ -154,8 +154,9 @@ def fit(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> LanguageModel | No
     place = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30))
     share = min(1.0, max_labelled / max(rows, 1))
     sample = known.withColumn("place", place).filter(F.col("place") < int(share * (1 << 30)))
-    bags = (sample.orderBy("place", "lang").limit(max_labelled).select("place", "lang", "text")
-            .mapInArrow(_bags, "place long, lang string, keys array<int>, shares array<float>").toArrow()
+    bags = (sample.select("place", "lang", "text")
+            .mapInArrow(_bags, "place long, lang string, keys array<int>, shares array<float>")
+            .orderBy("place", "lang").limit(max_labelled).toArrow()
             .sort_by([("place", "ascending"), ("lang", "ascending")]))
     held = [(np.asarray(k), np.asarray(v)) for k, v in zip(
         bags.column("keys").to_numpy(), bags.column("shares").to_numpy())]
