@@ -12,9 +12,10 @@ The nodes of a bucket are not paired with each other at large:
 2. Where a bucket still holds several components, its nodes are checked against
    the most central node of another component.
 3. What is left are nodes of different components that share a bucket. They are
-   compared in tiles of at most ``TILE`` by ``TILE`` nodes on a longer
-   signature, each pair in the first band it shares; only pairs that may reach
-   the threshold leave the tile, and their full sets are compared.
+   compared in tiles of about ``TILE`` nodes on a longer signature, each pair
+   in the first band it shares; only pairs that may reach the threshold leave
+   the tile, and their full sets are compared. Nodes of a bucket's largest
+   component meet only nodes of others there.
 
 So no link is given up, and the rows that move stay in proportion to nodes
 unless the nodes themselves are within a whisker of the threshold.
@@ -238,29 +239,49 @@ def _second_pairs(members: DataFrame) -> DataFrame:
             .select(*_ordered("node", "pivot.node")).distinct())
 
 
-def _tile_pairs(members: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs across components that share a bucket and may reach the threshold.
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with the bucket's
+    largest component ``main`` and its number of rows ``most``.
 
     Buckets of three are complete after two pivots.
     """
-    crowded = stored(members.filter("crowd > 3").groupBy("bucket")
-                     .agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                     .filter("low < high").select("bucket"), "mixed")
-    rows = stored(members.join(crowded, "bucket"), "rows")
+    counts = members.filter("crowd > 3").groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    crowded = stored(counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"),
+                                                  F.max("n").alias("most"), F.sum("n").alias("all"))
+                     .filter("most < all").drop("all"), "mixed")
+    return members.join(crowded, "bucket")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Nodes of a bucket dealt to blocks; a tile is a pair of blocks.
+
+    Blocks of the largest component meet those of the others but not each
+    other, so a few strangers among very many linked nodes move each node as
+    often as there are blocks of strangers.
+    """
+    side = F.lit(TILE // 2)
+    main, strangers = F.ceil(F.col("most") / side), F.ceil((F.col("crowd") - F.col("most")) / side)
+    spot = F.xxhash64("node", "bucket")
+    placed = (rows.withColumn("inside", F.col("root") == F.col("main"))
+              .withColumn("first", main.cast("int")).withColumn("last", (main + strangers - 1).cast("int"))
+              .withColumn("block", F.when(F.col("inside"), F.pmod(spot, F.col("first")))
+                          .otherwise(F.col("first") + F.pmod(spot, F.col("last") - F.col("first") + 1)).cast("int")))
+    met = F.sequence(F.when(F.col("inside"), F.col("first")).otherwise(F.lit(0)), F.col("last"))
+    return placed.withColumn("other", F.explode(met)).select(
+        "node", "root", "bucket", "band", F.least("block", "other").alias("low"),
+        F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+
+
+def _tile_pairs(members: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs across components that share a bucket and may reach the threshold."""
+    rows = stored(_mixed(members), "rows")
     wanted = rows.select(F.col("node").alias("doc_id")).distinct()
     prints = stored(texts.join(wanted, "doc_id", "left_semi")
                     .mapInArrow(partial(_prints, width=width), "node long, set_id binary, short binary, long binary")
                     .dropDuplicates(["node", "set_id"])
                     .join(nodes.select("node", "set_id", "size", "bands"), ["node", "set_id"]).drop("set_id"), "prints")
-    # Nodes of a bucket are dealt to blocks; a tile is a pair of blocks.
-    blocks = F.ceil(F.col("crowd") / F.lit(TILE // 2)).cast("int")
-    block = F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int")
-    placed = rows.withColumn("blocks", blocks).withColumn("block", block)
-    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "node", "root", "bucket", "band", F.least("block", "other").alias("low"),
-        F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     # A node has several prints if its doc_id is repeated with other texts: only that of the bucket's own set counts.
-    filled = (tiles.join(prints, "node").filter(F.get("bands", "band") == F.col("bucket"))
+    filled = (_dealt(rows).join(prints, "node").filter(F.get("bands", "band") == F.col("bucket"))
               .repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "side", "node"))
     return filled.mapInArrow(partial(_tile, percent=percent), "a long, b long").distinct()
 

@@ -88,3 +88,35 @@ def test_equal_hashes_are_no_hits(spark, monkeypatch, bound):
     items = spark.createDataFrame([("a", said), ("b", said), ("c", "short item")], "item_id string, text string")
     found = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, items).collect()}
     assert found == {1: (len(said.split()), 2), 2: (0, 0), 3: (0, 0), 4: (2, 1), 5: (0, 0)}
+
+
+def test_one_stranger_among_many_linked_nodes_moves_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "TILE", 64)
+    linked = spark.range(20_000).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("root"))
+    strangers = spark.range(20_000, 20_100).select(F.col("id").alias("node"), F.col("id").alias("root"))
+    for others, most in ((strangers.filter("node = 20000"), 20_001), (strangers, 20_100)):
+        members = (linked.unionByName(others).withColumn("bucket", F.lit(5).cast("long"))
+                   .withColumn("band", F.lit(3)).withColumn("crowd", F.lit(most).cast("long")))
+        dealt = near_dup._dealt(near_dup._mixed(members))
+        blocks = -(-(most - 20_000) // 32)
+        assert dealt.filter("root = 0").count() == 20_000 * blocks
+        assert dealt.filter("root != 0").count() == (most - 20_000) * (625 + blocks)
+
+
+def test_each_pair_of_different_components_meets_in_one_tile(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "TILE", 8)
+    rows = [(i, i // 30 if i < 60 else i, 9, 2, 75) for i in range(75)]
+    members = spark.createDataFrame(rows, "node long, root long, bucket long, band int, crowd long")
+    tiles = near_dup._dealt(near_dup._mixed(members)).collect()
+    met = {}
+    for tile in {(t["low"], t["high"]) for t in tiles}:
+        inside = [t for t in tiles if (t["low"], t["high"]) == tile]
+        left = [t for t in inside if t["side"] == 0]
+        right = left if tile[0] == tile[1] else [t for t in inside if t["side"] == 1]
+        for a in left:
+            for b in right:
+                if a["root"] != b["root"] and (tile[0] != tile[1] or a["node"] < b["node"]):
+                    pair = (min(a["node"], b["node"]), max(a["node"], b["node"]))
+                    met[pair] = met.get(pair, 0) + 1
+    root = {r[0]: r[1] for r in rows}
+    assert met == {(a, b): 1 for a in root for b in root if a < b and root[a] != root[b]}
