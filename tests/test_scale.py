@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import compare
 from posthaste.operators import ranks, splits
 from posthaste.plans import queries
 
@@ -37,3 +38,22 @@ def test_cuts_inside_one_key_are_looked_up_together(spark, monkeypatch, hot):
     assert [r["count"] for r in folds.groupBy("fold").count().orderBy("fold").collect()] == [100] * 9
     order = lambda df: sorted(map(tuple, df.select("k", "half").collect()), key=str)
     assert order(folds) == order(rows)
+
+
+@pytest.mark.parametrize("name", ["stream_windows", "stream_dedupe", "stream_candidates", "stream_ingest_restarted"])
+def test_landing_files_grow_in_number_not_in_size(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(queries, "LANDED_ROWS", 100, raising=False)
+    monkeypatch.setattr(queries, "LANDED_PER_TRIGGER", 4, raising=False)
+    landed, per_trigger = [], []
+    landing_stream = queries.streams.landing_stream
+
+    def seen(session, landing, *args, **named):
+        landed.append(landing)
+        per_trigger.append(named["files_per_trigger"])
+        return landing_stream(session, landing, *args, **named)
+
+    monkeypatch.setattr(queries.streams, "landing_stream", seen)
+    assert compare.mismatch(spark, compare.database(sf), sf, name) is None
+    sizes = [r["count"] for r in spark.read.parquet(landed[0]).groupBy("_metadata.file_path").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) < 200
+    assert max(per_trigger) <= 4 or name == "stream_windows"
