@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import compare
-from posthaste.operators import ranks, splits
+from posthaste.operators import model, ranks, splits
 from posthaste.plans import queries
 
 
@@ -57,3 +57,36 @@ def test_landing_files_grow_in_number_not_in_size(spark, sf, monkeypatch, name):
     sizes = [r["count"] for r in spark.read.parquet(landed[0]).groupBy("_metadata.file_path").count().collect()]
     assert len(sizes) >= 10 and max(sizes) < 200
     assert max(per_trigger) <= 4 or name == "stream_windows"
+
+
+def test_a_fit_makes_words_once(spark, folder):
+    rows = spark.range(60).selectExpr("id as ord", "concat('some words ', id % 7) as text", "(id % 10) / 9.0 as score")
+    calls = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            calls.add(batch.num_rows)
+            yield batch
+
+    seen = rows.mapInArrow(read, rows.schema)
+    model.fit_regressor(seen, {"max_iter": 3})
+    assert calls.value == 60
+    folded = splits.kfold(rows)
+    kept = folded.mapInArrow(read, folded.schema)
+    space = {"num_features": model.OneOf((16, 64)), "min_doc_freq": model.OneOf((1, 2)), "max_iter": model.OneOf((2,))}
+    found = model.search(kept, space, n_trials=3).collect()
+    assert calls.value == 120 and len(found) == 9
+
+
+def test_counts_of_a_search_are_those_of_a_fit(spark):
+    rows = splits.kfold(spark.range(60).selectExpr(
+        "id as ord", "concat('some words ', id % 7, ' ', id % 11) as text", "(id % 10) / 9.0 as score"))
+    params = {"num_features": 64, "min_doc_freq": 2, "reg_param": 1e-2, "max_iter": 5}
+    counts = model._stored_counts(rows, [16, 64])
+    assert sorted(counts) == [16, 64]
+    for fold in range(2):
+        fitted = model.fit_regressor(rows.filter(F.col("fold") != fold), params)
+        expected = model.score_posts(rows.filter(F.col("fold") == fold), fitted)
+        found = model._validated(counts[64], fold, params)
+        near = [sorted(r[0] for r in df.select(model.PREDICTION).collect()) for df in (expected, found)]
+        assert near[0] == pytest.approx(near[1], abs=1e-9)
