@@ -13,7 +13,8 @@ from posthaste.sources import tables
 from posthaste.streaming import posts as streams
 
 
-@pytest.mark.parametrize("name", ["stream_candidates", "stream_ingest_restarted", "stream_scores", "stream_dedupe"])
+@pytest.mark.parametrize("name", ["stream_candidates", "stream_ingest_restarted", "stream_scores", "stream_dedupe",
+                                  "stream_windows"])
 def test_a_table_of_parts_lands_part_by_part(spark, sf, monkeypatch, name):
     monkeypatch.setattr(queries, "PART_EVENTS", 100, raising=False)
     monkeypatch.setattr(queries, "MAX_PARTS", 4, raising=False)
