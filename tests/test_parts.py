@@ -65,6 +65,14 @@ def test_parts_by_id_take_each_post_once_and_copies_together(spark, monkeypatch)
     assert sum(map(len, sets)) == len(set().union(*sets))
 
 
+def test_scores_are_written_without_a_second_copy_of_the_texts(spark, sf, monkeypatch):
+    written = []
+    to_parquet = streams.to_parquet
+    monkeypatch.setattr(streams, "to_parquet", lambda df, *a: written.append(df) or to_parquet(df, *a))
+    assert queries.QUERIES["stream_scores"](spark, sf).filter("as_in_batch").count() == 1000
+    assert written and all("text" not in df.columns for df in written)
+
+
 def test_a_rejected_post_uses_up_its_id_without_its_text(spark, folder):
     """With a least length of 0 a text that is left out must not pass."""
     schema = "tweet_id string, text string, created_at string, likes long, replies long, reposts long, arrival int"
